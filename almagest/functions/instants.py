@@ -77,7 +77,7 @@ _MONTH = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?
 _WEEKDAY = r"(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+)?"
 _OFFSET = r"[+-]\d{2}(?::?\d{2})?"
 _ZONE = rf"(?:(?<o>{_OFFSET})(?:\[[a-z]+(?:/[a-z_]+)+\])?|\[?(?<z>[a-z]{{1,4}}|[a-z]+(?:/[a-z_]+)+)\]?)"
-_CLOCK = r"(?<h>\d{1,2}):(?<i>\d{2})(?::(?<s>\d{2})(?:[.,](?<f>\d{1,9}))?)?(?:\s*(?<p>[ap])\.?m\.?)?"
+_CLOCK = r"(?<h>\d{1,2}):(?<i>\d{2})(?::(?<s>\d{2})(?:[.,](?<f>\d{1,9}))?)?(?:\s*(?<p>[ap])\.?m\.?(?![a-z]))?"
 _DATES = (
     r"(?<y1>\d{4})(?<g1>[-/.])(?<m1>\d{1,2})\k<g1>(?<d1>\d{1,2})",
     r"(?<m2>\d{1,2})/(?<d2>\d{1,2})/(?<y2>\d{4})",
@@ -136,6 +136,15 @@ def new_york_day(seconds: Column, year: Column) -> Column:
     return _div(seconds - F.when(summer, 4 * 3600).otherwise(5 * 3600), 86400)
 
 
+def _step(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with computed columns that the optimizer keeps as a step of their own.
+
+    A filter on a later column would be pushed through plain projections by writing out all they are made of, with the
+    regular expression once for each use. It isn't pushed through a generator, here of one row.
+    """
+    return df.drop(*columns).select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def with_instant(
     df: DataFrame, text: str, out: str = "instant_us", bare_hour: Column | int = 0, home: str = HOME, day_out: str | None = None
 ) -> DataFrame:
@@ -156,13 +165,14 @@ def with_instant(
     """
     part = {name: F.try_element_at(F.col("__tparts"), F.lit(k + 2)) for k, name in enumerate(_PARTS)}
     number = lambda name: part[name].try_cast("int")
-    df = df.withColumn("__tmarked", F.regexp_replace(F.col(text), PATTERN, _REPLACEMENT))
-    df = df.withColumn("__tparts", F.when(F.col("__tmarked").startswith(_CUT), F.split("__tmarked", _CUT)))
+    df = _step(df, {"__tmarked": F.regexp_replace(F.col(text), PATTERN, _REPLACEMENT)})
+    df = _step(df, {"__tparts": F.when(F.col("__tmarked").startswith(_CUT), F.split("__tmarked", _CUT))})
     name = F.lower(F.substring(part["m"], 1, 3))
-    df = df.withColumns(
+    df = _step(
+        df,
         {
             "__ty": number("y").cast("long"),
-            "__tm": F.coalesce(number("m"), F.nullif(F.instr(F.lit(MONTHS), name), F.lit(0)) + 2) + 0,
+            "__tw": F.coalesce(number("m"), F.nullif(F.instr(F.lit(MONTHS), name), F.lit(0)) + 2) + 0,
             "__tnamed": number("m").isNull(),
             "__td": number("d"),
             "__tbare": part["h"] == "",
@@ -175,9 +185,9 @@ def with_instant(
             "__tz": F.lower(part["z"]),
             "__tn": part["n"].try_cast("long"),
             "__tlong": F.length(part["n"]) == 13,
-        }
+        },
     )
-    df = df.withColumn("__tm", F.when(F.col("__tnamed"), _div(F.col("__tm"), 3).cast("int")).otherwise(F.col("__tm")))
+    df = _step(df, {"__tm": F.when(F.col("__tnamed"), _div(F.col("__tw"), 3).cast("int")).otherwise(F.col("__tw"))})
     y, m, d, h = (F.col(f"__t{x}") for x in "ymdh")
     leap = (F.pmod(y, F.lit(4)) == 0) & ((F.pmod(y, F.lit(100)) != 0) | (F.pmod(y, F.lit(400)) == 0))
     month_days = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
@@ -189,7 +199,8 @@ def with_instant(
     hour = F.when(half, F.pmod(h, F.lit(12)) + F.when(F.col("__tp") == "p", 12).otherwise(0)).otherwise(h)
     offset = F.substring("__to", 2, 2).try_cast("int") * 60 + F.coalesce(F.substring("__to", 4, 2).try_cast("int"), F.lit(0))
     zone = F.when(F.col("__tz") == "", F.lit(home)).otherwise(F.col("__tz"))
-    df = df.withColumns(
+    df = _step(
+        df,
         {
             "__tday": F.when(fits, civil_days(y, m, d)),
             "__tmin": hour * 60 + F.col("__ti"),
@@ -200,7 +211,7 @@ def with_instant(
             "__tbase": F.when(F.col("__to") == "", _zone(zone, 0)),
             "__trule": F.when(F.col("__to") == "", _zone(zone, 1)),
             "__tmarch": civil_days(y, F.lit(3), 1),
-        }
+        },
     )
     march, local, base = F.col("__tmarch"), F.col("__tday") * 1440 + F.col("__tmin"), F.col("__tbase")
     america = y >= FIRST_AMERICAN
@@ -210,7 +221,7 @@ def with_instant(
     autumn = F.when(F.col("__trule") == AMERICA, F.when(america, _sunday(march + 245)).otherwise(_sunday(march + 238)) * 1440 + 60).otherwise(
         _sunday(march + 238) * 1440 + 60 + base
     )
-    df = df.withColumns({"__tlocal": local, "__tspring": spring, "__tautumn": autumn})
+    df = _step(df, {"__tlocal": local, "__tspring": spring, "__tautumn": autumn})
     t = F.col("__tlocal")
     ruled = (
         F.when(F.col("__trule") == FIXED, base)
@@ -220,19 +231,19 @@ def with_instant(
     )
     written = ((t - F.coalesce(F.col("__toff"), ruled)) * 60 + F.col("__ts")) * 1000000 + F.col("__tf")
     plain = F.col("__tn") * F.when(F.col("__tlong"), 1000).otherwise(1000000)
-    df = df.withColumn(out, F.coalesce(written, plain).cast("long"))
+    df = _step(df, {out: F.coalesce(written, plain).cast("long")})
     if day_out:
         seconds = _div(F.col(out), 1000000)
         # A day's UTC year is found from its day number: 400 years have 146097 days.
-        df = df.withColumn("__tsec", seconds)
+        df = _step(df, {"__tsec": seconds, "__tyear": F.year(F.date_from_unix_date(_div(seconds, 86400).cast("int"))).cast("long")})
         homely = (F.col("__tz") == "") & (F.col("__to") == "") & F.col("__tn").isNull()
-        df = df.withColumn(
-            day_out,
+        day = (
             F.when(F.col(out).isNull(), None)
             .when(homely, F.col("__tday"))
-            .otherwise(new_york_day(F.col("__tsec"), F.year(F.date_from_unix_date(_div(F.col("__tsec"), 86400).cast("int"))).cast("long")))
-            .cast("int"),
+            .otherwise(new_york_day(F.col("__tsec"), F.col("__tyear")))
+            .cast("int")
         )
+        df = _step(df, {day_out: day})
     return df.drop(*[c for c in df.columns if c.startswith("__t")])
 
 
