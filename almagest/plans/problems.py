@@ -112,7 +112,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     bars = table(spark, folder, "stocks_daily").select("bar_id", "ticker", "date", "close", "volume", "loaded_at")
-    index = table(spark, folder, "index_daily").groupBy("date").agg(F.max("close").alias("level"))
+    index = table(spark, folder, "index_daily").filter(F.col("index_name") == "MKTCOMP").groupBy("date").agg(F.max("close").alias("level"))
     found = spikes.flag_series(bars, "ticker", "date", "close", "bar_id", activity="volume", order=["loaded_at", "bar_id"], market=index)
     actions = spikes.flag_events(table(spark, folder, "corporate_actions").select("action_id", "ticker", "ex_date", "kind", "value"), "ticker", "ex_date", "kind", "value", "action_id")
     return found.select(F.lit("stocks_daily").alias("table_name"), F.col("bar_id").alias("record_id")).unionByName(
