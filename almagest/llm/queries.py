@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almagest.llm import mixing, packing
+from almagest.llm import abuse, mixing, packing
 from almagest.llm.tokens import token_count
 from almagest.sources.tables import table
 
@@ -56,5 +56,24 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return report.withColumn("actual_share", F.round("actual_share", 6))
 
 
-QUERIES = {"p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
+# --- 8
+
+
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its score and whether it is found."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    return abuse.scored(docs, abuse.train(docs, table(spark, folder, "review_labels"))).drop("text")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_scores(spark, folder).filter("found").select("doc_id")
+
+
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Per source (names without case and spacing): documents, found ones, their rate."""
+    docs = p8_scores(spark, folder).groupBy(mixing.source_name(F.col("source")).alias("source"))
+    return docs.agg(F.count("*").alias("docs"), F.count_if("found").alias("found_docs"), F.round(F.avg(F.col("found").cast("double")), 6).alias("found_rate"))
+
+
+QUERIES = {"p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
 SQL: dict[str, str] = {}
