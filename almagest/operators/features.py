@@ -19,10 +19,10 @@ def calendar(panel: DataFrame) -> DataFrame:
 
 
 def weekly_bars(lineitem: DataFrame) -> DataFrame:
-    """Weekly bars per supplier: volume-weighted price and volume."""
+    """Weekly bars per supplier: volume-weighted price and volume. Prices have two digits, so their sum is exact."""
     week = F.date_trunc("week", "l_shipdate").cast("date")
     bars = lineitem.groupBy(F.col("l_suppkey").alias("ticker"), week.alias("date")).agg(
-        (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"), F.sum("l_quantity").alias("volume")
+        (F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double") / F.sum("l_quantity")).alias("close"), F.sum("l_quantity").alias("volume")
     )
     return bars.join(calendar(bars), "date").withColumn("dv", F.col("close") * F.col("volume"))
 

@@ -14,7 +14,9 @@ from almagest.operators.rolling import latest_delivery
 #: Readings in a row of the profile matrix; readings that a spike may last; readings from which a run counts as stuck.
 WIDTH, LONGEST_SPIKE, STUCK_RUN = 10, 3, 5
 #: In units of a source's normal move: least size of a sparse entry to be examined, and of a deviation to be a spike.
-CANDIDATE, FAR_OFF = 3.0, 7.0
+CANDIDATE, FAR_OFF = 3.0, 6.0
+#: Normal moves by which the levels before and after a spike may differ; weight of the moves near against all.
+IN_LINE, NEAR = 6.0, 0.8
 #: Least deviation in logs; share of unchanged readings up to which a source counts as normally changing.
 LEAST_LOG, SELDOM = 0.03, 0.2
 
@@ -55,7 +57,7 @@ def normal_move(x: np.ndarray) -> np.ndarray:
     if whole == 0:  # moves of a few ticks only
         moved = change[change > 0]
         whole = np.median(moved) if len(moved) > 0.05 * len(change) else 0.0
-    near = 1.4826 * _running_median(np.append(change, change[-1]), 15)
+    near = NEAR * 1.4826 * _running_median(np.append(change, change[-1]), 15)
     return np.maximum(whole, near)
 
 
@@ -91,7 +93,7 @@ def spike_profile(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 # The nearest readings must be in line too, else a neighbour of the run is off itself.
                 near_lo, near_hi = x[before[-1]], x[b]
                 off = np.minimum(np.abs(x[a:b] - lo), np.abs(x[a:b] - hi))
-                line = max(far[a] * 0.75, 0.25 * off.min())
+                line = max(IN_LINE * move[a], 0.25 * off.min())
                 side = np.sign(x[a:b] - lo)
                 if (off > far[a:b]).all() and (side == side[0]).all() and abs(hi - lo) <= line and abs(near_hi - near_lo) <= line:
                     spike[a:b] = True

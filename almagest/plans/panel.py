@@ -26,12 +26,13 @@ def register(sql: str | None = None):
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    """Six digits. Values that can end in a 5 at the seventh are moved by 1e-9 first: engines round these differently."""
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
 # --- weekly bars
 
-BARS = """wk as (select l_suppkey as ticker, date_trunc('week', l_shipdate)::date as date, sum(l_extendedprice) / sum(l_quantity) as close, sum(l_quantity) as volume from lineitem group by 1, 2),
+BARS = """wk as (select l_suppkey as ticker, date_trunc('week', l_shipdate)::date as date, sum(l_extendedprice::decimal(18,2))::double / sum(l_quantity) as close, sum(l_quantity) as volume from lineitem group by 1, 2),
 cal as (select date, cast(row_number() over (order by date) - 1 as bigint) as day_idx from (select distinct date from wk)),
 bars as (select ticker, date, day_idx, close, volume, close * volume as dv from wk join cal using (date))"""
 RETS = BARS + """,
@@ -106,9 +107,9 @@ def _weighted(spark: SparkSession, folder: str) -> DataFrame:
     return fx.capped_weights(_book(spark, folder), F.col("ticker") % 4 == 0)
 
 
-@register(f"with {BARS} select ticker, date, day_idx, round(close, 6) as close, volume from bars")
+@register(f"with {BARS} select ticker, date, day_idx, round(close + 1e-9, 6) as close, volume from bars")
 def bars_weekly(spark, folder):
-    return rounded(_bars(spark, folder).select("ticker", "date", "day_idx", "close", "volume"), "close")
+    return _bars(spark, folder).select("ticker", "date", "day_idx", F.round(F.col("close") + 1e-9, 6).alias("close"), "volume")
 
 
 @register(f"with {RETS} select ticker, date, round(ret, 6) as ret from rets")
@@ -153,11 +154,12 @@ def liquidity_funnel(spark, folder):
     return _features(spark, folder).groupBy("date").agg(F.count("*").alias("names"), F.count_if(a).alias("with_adv"), F.count_if(b).alias("with_price"), F.count_if(b & F.col("momentum").isNotNull()).alias("with_momentum"))
 
 
-@register(f"with {FEAT}, l as (select ticker, adv20, close from feat where date = (select max(date) from feat) and adv20 >= {MIN_ADV}) select ticker, round(adv20 / 1e6, 6) as adv20_m, round(close, 6) as close from l order by round(adv20 / 1e6, 6) desc, ticker limit 20")
+@register(f"with {FEAT}, l as (select ticker, adv20, close from feat where date = (select max(date) from feat) and adv20 >= {MIN_ADV}) select ticker, round(adv20 / 1e6, 6) as adv20_m, round(close + 1e-9, 6) as close from l order by round(adv20 / 1e6, 6) desc, ticker limit 20")
 def screen_topn(spark, folder):
     feat = _features(spark, folder)
-    last = feat.withColumn("last", F.max("date").over(Window.partitionBy())) if False else feat.join(F.broadcast(table(spark, folder, "lineitem").agg(F.date_trunc("week", F.max("l_shipdate")).cast("date").alias("date"))), "date", "left_semi")
-    out = last.filter(F.col("adv20") >= MIN_ADV).select("ticker", F.round(F.col("adv20") / 1e6, 6).alias("adv20_m"), F.round("close", 6).alias("close"))
+    newest = table(spark, folder, "lineitem").agg(F.date_trunc("week", F.max("l_shipdate")).cast("date").alias("date"))
+    last = feat.join(F.broadcast(newest), "date", "left_semi")  # one row
+    out = last.filter(F.col("adv20") >= MIN_ADV).select("ticker", F.round(F.col("adv20") / 1e6, 6).alias("adv20_m"), F.round(F.col("close") + 1e-9, 6).alias("close"))
     return out.orderBy(F.desc("adv20_m"), "ticker").limit(20)
 
 
@@ -277,7 +279,7 @@ select date, count_if(x <= 15) as ours, count_if(x <= 15 and y <= 20) as overlap
 def overlap_naive(spark, folder):
     d = Window.partitionBy("date")
     df = _scored(spark, folder).select("date", F.row_number().over(d.orderBy(F.desc(F.round("score", 9)), "ticker")).alias("x"), F.row_number().over(d.orderBy(F.desc("momentum"), "ticker")).alias("y"))
-    return df.groupBy("date").agg(F.count_if("x <= 15").alias("ours"), F.count_if("x <= 15 and y <= 20").alias("overlap"))
+    return df.groupBy("date").agg(F.count_if(F.expr("x <= 15")).alias("ours"), F.count_if(F.expr("x <= 15 and y <= 20")).alias("overlap"))
 
 
 # --- daily index

@@ -22,7 +22,7 @@ def p1_trailing(spark: SparkSession, folder: str) -> DataFrame:
     out = rolling.trailing(_last_bars(spark, folder), "ticker", "date", ["close", "volume"])
     return out.select(
         "ticker", F.col("date").cast("string").alias("day"), "has_row",
-        *[F.round(c, 6).alias(c) if dict(out.dtypes)[c] == "double" else F.col(c) for c in out.columns[3:]],
+        *[F.round(F.col(c) + 1e-9, 6).alias(c) if dict(out.dtypes)[c] == "double" else F.col(c) for c in out.columns[3:]],
     )
 
 
@@ -50,10 +50,10 @@ def _trailing_sql() -> str:
         for n in (7, 30):
             over = f"over w{n}"
             parts += [
-                f"round(coalesce(sum({v}) {over}, 0)::double, 6) as {v}_total_{n}",
+                f"round(coalesce(sum({v}) {over}, 0)::double + 1e-9, 6) as {v}_total_{n}",
                 f"count({v}) {over} as {v}_rows_{n}",
-                f"round((sum({v}) {over})::double / nullif(count({v}) {over}, 0), 6) as {v}_avg_{n}",
-                f"round(coalesce(sum({v}) {over}, 0)::double / least({n}, date_diff('day', lo, d) + 1), 6) as {v}_daily_{n}",
+                f"round((sum({v}) {over})::double / nullif(count({v}) {over}, 0) + 1e-9, 6) as {v}_avg_{n}",
+                f"round(coalesce(sum({v}) {over}, 0)::double / least({n}, date_diff('day', lo, d) + 1) + 1e-9, 6) as {v}_daily_{n}",
             ]
     frames = ", ".join(f"w{n} as (partition by ticker order by d rows between {n - 1} preceding and current row)" for n in (7, 30))
     return _DENSE + f"select ticker, strftime(d, '%Y-%m-%d') as day, has_row, {', '.join(parts)} from dense window {frames}"
