@@ -26,6 +26,8 @@ ORDER, DISCOUNT, TURNS, RARE = 3, 0.75, 4, 3
 PAD = 1.0
 #: Score above which a phrase counts as toxic while the models are fitted.
 LEAST = 0.5
+#: A phrase in at least so many clean texts for each toxic one is ordinary; labels are wrong less often than that.
+PLAIN = 0.25
 TOXIC = ("abusive", "hateful", "sexual")
 
 # Letters of other scripts that look like Latin ones, and characters that stand for letters.
@@ -188,8 +190,8 @@ def fit(texts: list[str], labels: list[bool]) -> Model:
 
     Which phrase of a toxic text is toxic isn't known. Phrases start with their odds between toxic and ordinary texts.
     Then the texts are halved; models of one half score the phrases of the other, so no phrase vouches for itself. In
-    a toxic text the phrases that score toxic count as such, all others as ordinary; phrases that score toxic and are
-    far more frequent in toxic texts don't count as ordinary even in texts labelled clean. After some turns both models are
+    a toxic text the phrases that score toxic count as such, all others as ordinary, and so do all that clean texts hold
+    often enough; phrases that score toxic and are far more frequent in toxic texts don't count as ordinary even in texts labelled clean. After some turns both models are
     fitted to all. The threshold is the one best by F1 on the scores of the last turn, each from the other half.
     """
     parts = [phrases(t) for t in texts]
@@ -212,13 +214,14 @@ def fit(texts: list[str], labels: list[bool]) -> Model:
     for ps, toxic in zip(docs, labels):
         for p in ps:
             here[p][0 if toxic else 1] += 1
+    plain = {p for p, (a, b) in here.items() if b and b >= PLAIN * a}
     score = [{p: LEAST + 1 if here[p][0] / n_toxic > 8 * here[p][1] / n_clean else 0.0 for p in here}] * 2
     for turn in range(TURNS + 1):
         rows: list[dict] = [defaultdict(lambda: [0.0, 0.0]), defaultdict(lambda: [0.0, 0.0])]
         for k, (ps, toxic) in enumerate(zip(docs, labels)):
             for p in ps:
                 s = score[k % 2][p]
-                if s <= LEAST:
+                if s <= LEAST or p in plain:
                     rows[k % 2][p][1] += 1
                 elif toxic:
                     rows[k % 2][p][0] += 1
