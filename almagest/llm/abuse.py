@@ -38,7 +38,7 @@ _INVISIBLE = dict.fromkeys([0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010),
 _SPACED = re.compile(r"(?<![^\W\d_])[^\W\d_](?: [^\W\d_]){3,}(?![^\W\d_])")
 _DOTTED = re.compile(r"(?<!\w)[^\W\d_]{1,2}(?:[.\-_·•][^\W\d_]{1,2}){2,}(?!\w)")
 _PHRASE_END = re.compile(r"[.!?;:,)]+(?=\s|$)|[\n\r\"“”„«»()]+|\s[-–—]+\s|\.{3,}|…")
-_WORD = re.compile(r"[^\W_][\w@$!|*€'’]*[^\W_]|[@$][^\W_][\w@$!|*€]*|[^\W_]")
+_WORD = re.compile(r"\d+(?:[.,]\d+)+|[^\W_][\w@$!|*€'’]*[^\W_]|[@$][^\W_][\w@$!|*€]*|[^\W_]")
 _MARKED = re.compile(r"[0-9@$!|€*]")
 _NUMERIC = re.compile(r"[\d.,]+(?:st|nd|rd|th|s|x|m|k|bn|mm|bps?|am|pm)?|q[1-4]|h[12]|fy\d+|[$€]\d[\d.,]*[a-z]{0,2}")
 _RUN = re.compile(r"([^\W\d_])\1+")

@@ -21,7 +21,7 @@ IN_LINE, NEAR = 6.0, 0.8
 LEAST_LOG, SELDOM = 0.03, 0.2
 
 
-def robust_pca(x: np.ndarray, rounds: int = 60, tolerance: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+def robust_pca(x: np.ndarray, rounds: int = 200, tolerance: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """Principal component pursuit: ``x`` as a low-rank matrix plus a sparse one (augmented Lagrangian method)."""
     weight = 1.0 / np.sqrt(max(x.shape))
     norm = np.linalg.norm(x, 2) if x.size else 0.0
@@ -37,7 +37,7 @@ def robust_pca(x: np.ndarray, rounds: int = 60, tolerance: float = 1e-5) -> tupl
         sparse = np.sign(rest) * np.maximum(np.abs(rest) - weight / mu, 0)
         gap = x - low - sparse
         dual += mu * gap
-        mu *= 1.5
+        mu *= 1.1
         if np.linalg.norm(gap) <= tolerance * size:
             break
     return low, sparse
@@ -95,7 +95,7 @@ def spike_profile(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 off = np.minimum(np.abs(x[a:b] - lo), np.abs(x[a:b] - hi))
                 line = max(IN_LINE * move[a], 0.25 * off.min())
                 side = np.sign(x[a:b] - lo)
-                if (off > far[a:b]).all() and (side == side[0]).all() and abs(hi - lo) <= line and abs(near_hi - near_lo) <= line:
+                if (off > far[a:b]).all() and (side == side[0]).all() and max(abs(hi - lo), abs(near_hi - near_lo), abs(near_lo - lo), abs(near_hi - hi)) <= line:
                     spike[a:b] = True
                     level[a:b] = (near_lo + near_hi) / 2
                     break

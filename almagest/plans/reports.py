@@ -52,10 +52,10 @@ TTM = REPORTS + """,
 ttm as (select *, case when count(*) over w = 4 and pe - min(pe) over w <= 300 and count(sales) over w = 4 then sum(sales) over w end as ttm_sales, case when count(*) over w = 4 and pe - min(pe) over w <= 300 and count(eps) over w = 4 then sum(eps) over w end as ttm_eps from rep window w as (partition by ticker order by pe rows between 3 preceding and current row))"""
 
 
-@register(f"with {TTM} select ticker, pe, round(ttm_sales / 1e6, 6) as ttm_sales_m, round(ttm_eps, 6) as ttm_eps from ttm")
+@register(f"with {TTM} select ticker, pe, round(ttm_sales / 1e6 + 1e-9, 6) as ttm_sales_m, round(ttm_eps, 6) as ttm_eps from ttm")
 def ttm(spark, folder):
     out = reports.trailing_year(_reports(spark, folder), ["sales", "eps"])
-    return out.select("ticker", "pe", F.round(F.col("ttm_sales") / 1e6, 6).alias("ttm_sales_m"), F.round("ttm_eps", 6).alias("ttm_eps"))
+    return out.select("ticker", "pe", F.round(F.col("ttm_sales") / 1e6 + 1e-9, 6).alias("ttm_sales_m"), F.round("ttm_eps", 6).alias("ttm_eps"))
 
 
 SUE = REPORTS + """,

@@ -5,8 +5,8 @@ from almagest.operators.spikes import event_outliers, flag_events, flag_series,
 
 def test_robust_pca_parts_low_rank_and_sparse():
     rng = np.random.default_rng(0)
-    low = rng.normal(size=(40, 2)) @ rng.normal(size=(2, 12))
-    sparse = np.where(rng.random((40, 12)) < 0.05, rng.choice([-8.0, 8.0], (40, 12)), 0)
+    low = rng.normal(size=(200, 2)) @ rng.normal(size=(2, 40))
+    sparse = np.where(rng.random((200, 40)) < 0.05, rng.choice([-8.0, 8.0], (200, 40)), 0)
     a, b = robust_pca(low + sparse)
     assert np.abs(a - low).max() < 0.05 and ((np.abs(b) > 1) == (sparse != 0)).all()
     assert robust_pca(np.zeros((3, 4)))[1].sum() == 0
