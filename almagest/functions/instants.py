@@ -164,7 +164,9 @@ def with_instant(
     Columns ``out`` and ``day_out`` replace columns of those names.
     """
     part = {name: F.try_element_at(F.col("__tparts"), F.lit(k + 2)) for k, name in enumerate(_PARTS)}
-    number = lambda name: part[name].try_cast("int")
+    # Parts hold digits or nothing, so a plain cast does; a failed try_cast would cost an exception for each empty part.
+    digits = lambda c, kind="int": F.when((c != "") & (c < ":"), c.cast(kind))
+    number = lambda name: digits(part[name])
     df = _step(df, {"__tmarked": F.regexp_replace(F.col(text), PATTERN, _REPLACEMENT)})
     df = _step(df, {"__tparts": F.when(F.col("__tmarked").startswith(_CUT), F.split("__tmarked", _CUT))})
     name = F.lower(F.substring(part["m"], 1, 3))
@@ -179,11 +181,11 @@ def with_instant(
             "__th": F.coalesce(number("h"), F.lit(bare_hour) if isinstance(bare_hour, int) else bare_hour),
             "__ti": F.coalesce(number("i"), F.lit(0)),
             "__ts": F.coalesce(number("s"), F.lit(0)),
-            "__tf": F.coalesce(F.rpad(part["f"], 6, "0").try_cast("int"), F.lit(0)),
+            "__tf": F.rpad(part["f"], 6, "0").cast("int"),
             "__tp": F.lower(part["p"]),
-            "__to": F.regexp_replace(part["o"], ":", ""),
+            "__to": F.replace(part["o"], F.lit(":"), F.lit("")),
             "__tz": F.lower(part["z"]),
-            "__tn": part["n"].try_cast("long"),
+            "__tn": digits(part["n"], "long"),
             "__tlong": F.length(part["n"]) == 13,
         },
     )
@@ -197,7 +199,8 @@ def with_instant(
         & F.when(half, h.between(1, 12)).otherwise(h <= 23)
     )
     hour = F.when(half, F.pmod(h, F.lit(12)) + F.when(F.col("__tp") == "p", 12).otherwise(0)).otherwise(h)
-    offset = F.substring("__to", 2, 2).try_cast("int") * 60 + F.coalesce(F.substring("__to", 4, 2).try_cast("int"), F.lit(0))
+    minutes = digits(F.substring("__to", 4, 2))
+    offset = digits(F.substring("__to", 2, 2)) * 60 + F.coalesce(minutes, F.lit(0))
     zone = F.when(F.col("__tz") == "", F.lit(home)).otherwise(F.col("__tz"))
     df = _step(
         df,
@@ -205,7 +208,7 @@ def with_instant(
             "__tday": F.when(fits, civil_days(y, m, d)),
             "__tmin": hour * 60 + F.col("__ti"),
             "__toff": F.when(
-                (F.col("__to") != "") & (offset <= 18 * 60) & (F.substring("__to", 4, 2).try_cast("int").isNull() | (F.substring("__to", 4, 2) < "60")),
+                (F.col("__to") != "") & (offset <= 18 * 60) & (F.coalesce(minutes, F.lit(0)) < 60),
                 F.when(F.col("__to").startswith("-"), -offset).otherwise(offset),
             ),
             "__tbase": F.when(F.col("__to") == "", _zone(zone, 0)),
