@@ -60,4 +60,5 @@ def known_at(events: DataFrame, intervals: DataFrame, entity: str, at_us: str) -
     nodes = F.when(F.col("__to").isNull(), F.array(F.lit(OPEN).cast("bigint"))).otherwise(_nodes(F.col("__from"), F.col("__to")))
     held = intervals.withColumn("__n", F.explode(nodes)).withColumnRenamed("__n", "__node")
     on = (F.col(entity) == F.col("__e")) & (F.col("__n") == F.col("__node")) & (F.col(at_us) >= F.col("__from")) & (F.col("__to").isNull() | (F.col(at_us) < F.col("__to")))
-    return keyed.join(held, on).drop("__e", "__n", "__node", "__from", "__to")
+    # Sizes after explode are underestimated, so the side to broadcast isn't left to the estimate: both are sorted.
+    return keyed.join(held.hint("merge"), on).drop("__e", "__n", "__node", "__from", "__to")
