@@ -54,23 +54,24 @@ def features(panel: DataFrame) -> DataFrame:
     market = market_returns(panel)
     panel = panel.join(F.broadcast(market), "date")  # one row per date of the calendar
     illiquid = F.abs("ret") / F.nullif(F.col("dv"), F.lit(0.0))
-    year = frame(YEAR)
     both = F.when(F.col("ret").isNotNull(), F.col("mkt"))
+    # Sums over a year are differences of sums from the start: a sliding frame would add up 253 rows for each row.
+    sums = {"r": F.col("ret"), "m": both, "rm": F.col("ret") * F.col("mkt"), "n": F.col("ret").isNotNull().cast("double")}
+    order = Window.partitionBy("ticker").orderBy("day_idx")
+    upto, before = order.rangeBetween(Window.unboundedPreceding, 0), order.rangeBetween(Window.unboundedPreceding, -YEAR - 1)
     panel = panel.withColumns(
         {
             "adv20": F.avg("dv").over(frame(19)),
             "rv21": F.stddev_samp("ret").over(frame(20)) * F.sqrt(F.lit(float(YEAR))),
             "amihud": F.avg(illiquid).over(frame(20)) * 1e6,
             "momentum": F.when(F.col("day_idx") >= YEAR, lagged("close", MONTH) / lagged("close", YEAR) - 1),
-            "b_n": F.count("ret").over(year),
-            "b_r": F.avg("ret").over(year),
-            "b_m": F.sum(both).over(year),
-            "b_rm": F.sum(F.col("ret") * F.col("mkt")).over(year),
+            **{f"b_{k}": F.coalesce(F.sum(c).over(upto), F.lit(0.0)) for k, c in sums.items()},
         }
     )
+    panel = panel.withColumns({f"y_{k}": F.col(f"b_{k}") - F.coalesce(F.last(f"b_{k}").over(before), F.lit(0.0)) for k in sums})
     spread = F.col("mkt_sq") - F.col("mkt_sum") * F.col("mkt_sum") / F.col("mkt_n")
-    beta = (F.col("b_rm") - F.col("b_r") * F.col("b_m")) / F.nullif(spread, F.lit(0.0))
-    return panel.withColumn("beta", F.when(F.col("b_n") >= YEAR // 2, 0.67 * beta + 0.33)).drop("b_n", "b_r", "b_m", "b_rm", "mkt_n", "mkt_sum", "mkt_sq")
+    beta = (F.col("y_rm") - F.col("y_r") * F.col("y_m") / F.nullif("y_n", F.lit(0.0))) / F.nullif(spread, F.lit(0.0))
+    return panel.withColumn("beta", F.when(F.col("y_n") >= YEAR // 2, 0.67 * beta + 0.33)).drop(*[f"{t}_{k}" for t in "by" for k in sums], "mkt_n", "mkt_sum", "mkt_sq")
 
 
 def liquid(features: DataFrame, min_adv: float, min_price: float, amihud_keep: float = 0.9) -> DataFrame:
@@ -80,23 +81,34 @@ def liquid(features: DataFrame, min_adv: float, min_price: float, amihud_keep: f
     return features.filter(ok).withColumn("amihud_limit", limit).filter(F.col("amihud") <= F.col("amihud_limit")).drop("amihud_limit")
 
 
-def zscore(pool: DataFrame, column: str, group: str, out: str, clip: float = 3.0, least: int = 5) -> DataFrame:
-    """Winsorised, standardised in its group (in the whole date for small groups), clipped."""
+def zscores(pool: DataFrame, columns: list[str], group: str, clip: float = 3.0, least: int = 5) -> DataFrame:
+    """``z_c`` for each column c: winsorised, standardised in its group (small groups: in the whole date), clipped.
+
+    All columns share two windows, of the date and of its groups, on one shuffle by date.
+    """
     date, own = Window.partitionBy("date"), Window.partitionBy("date", group)
-    x = F.least(F.greatest(F.col(column), F.percentile(column, F.lit(0.01)).over(date)), F.percentile(column, F.lit(0.99)).over(date))
-    pool = pool.withColumn("__x", F.when(F.col(column).isNotNull(), x))
-    wide = F.count("__x").over(own) >= least
-    mean = F.when(wide, F.avg("__x").over(own)).otherwise(F.avg("__x").over(date))
-    spread = F.when(wide, F.stddev_samp("__x").over(own)).otherwise(F.stddev_samp("__x").over(date))
-    pool = pool.withColumns({"__m": mean, "__s": spread})
-    z = (F.col("__x") - F.col("__m")) / F.nullif(F.col("__s"), F.lit(0.0))
-    return pool.withColumn(out, F.least(F.greatest(z, F.lit(-clip)), F.lit(clip))).withColumn(out, F.when(z.isNotNull(), F.col(out))).drop("__x", "__m", "__s")
+    limits = {f"__l_{c}": F.percentile(c, F.array(F.lit(0.01), F.lit(0.99))).over(date) for c in columns}
+    pool = pool.withColumns(limits)
+    x = {f"__x_{c}": F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"__l_{c}")[0]), F.col(f"__l_{c}")[1])) for c in columns}
+    pool = pool.withColumns(x).drop(*limits)
+    stats = {}
+    for c in columns:
+        v = f"__x_{c}"
+        for tag, w in (("g", own), ("d", date)):
+            stats |= {f"__n{tag}_{c}": F.count(v).over(w), f"__m{tag}_{c}": F.avg(v).over(w), f"__s{tag}_{c}": F.stddev_samp(v).over(w)}
+    pool = pool.withColumns(stats)
+    out = {}
+    for c in columns:
+        wide = F.col(f"__ng_{c}") >= least
+        pick = lambda k, wide=wide, c=c: F.when(wide, F.col(f"__{k}g_{c}")).otherwise(F.col(f"__{k}d_{c}"))
+        z = (F.col(f"__x_{c}") - pick("m")) / F.nullif(pick("s"), F.lit(0.0))
+        out[f"z_{c}"] = F.when(z.isNotNull(), F.least(F.greatest(z, F.lit(-clip)), F.lit(clip)))
+    return pool.withColumns(out).drop(*x, *stats)
 
 
 def composite(pool: DataFrame, factors: dict[str, float], group: str) -> DataFrame:
     """Weighted sum of z-scores over the sum of all weights; a missing factor is neutral."""
-    for f in factors:
-        pool = zscore(pool, f, group, f"z_{f}")
+    pool = zscores(pool, list(factors), group)
     total = sum(factors.values())
     score = sum((F.coalesce(F.col(f"z_{f}"), F.lit(0.0)) * w for f, w in factors.items()), F.lit(0.0)) / total
     return pool.withColumn("score", score)
