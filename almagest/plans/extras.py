@@ -267,3 +267,106 @@ def consensus_clusters(spark, folder):
         return pd.DataFrame({"nation": wide.index, "grp": models.linkage_groups(together, 5, 2)})
 
     return labels.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(agree, "nation long, grp int")
+
+
+# --- decisions and scenarios
+
+SCEN = FORWARD + panel._z_sql().replace("from liq)", "from liq)", 1)
+_DROPS = [("base", None), *[(f"without {f}", f) for f in panel.FACTORS]]
+
+
+def _scenario_sql() -> str:
+    one = lambda drop: " + ".join(f"coalesce(z_{f}, 0) * {0.0 if f == drop else w}::double" for f, w in panel.FACTORS.items())
+    parts = " union all ".join(f"select '{n}' as scenario, ticker, date, grp, ({one(drop)}) as s from zs" for n, drop in _DROPS)
+    return f"""with {SCEN}, x as ({parts}),
+a as (select *, row_number() over (partition by scenario, date, grp order by round(s, 9) desc, ticker) as gr from x),
+b as (select * from (select *, row_number() over (partition by scenario, date order by round(s, 9) desc, ticker) as rk from a where gr <= 4) where rk <= 15)
+select scenario, count(*) as holdings, count(fwd) as known, round(avg(fwd), 6) as fwd from b left join ic using (ticker, date) group by 1"""
+
+
+@register(_scenario_sql())
+def drop_one_scenarios(spark, folder):
+    """Unheld books with each factor left out in turn: scenarios are rows, so all run in one pass."""
+    z = panel._scored(spark, folder)
+    score = lambda drop: sum((F.coalesce(F.col(f"z_{f}"), F.lit(0.0)) * (0.0 if f == drop else w) for f, w in panel.FACTORS.items()), F.lit(0.0))
+    rows = z.select("ticker", "date", "grp", F.inline(F.array(*[F.struct(F.lit(n).alias("scenario"), F.round(score(drop), 9).alias("s")) for n, drop in _DROPS])))
+    own, all_ = Window.partitionBy("scenario", "date", "grp"), Window.partitionBy("scenario", "date")
+    best = (F.desc("s"), "ticker")
+    book = rows.withColumn("gr", F.row_number().over(own.orderBy(*best))).filter("gr <= 4").withColumn("rk", F.row_number().over(all_.orderBy(*best))).filter("rk <= 15")
+    fwd = panel._forward(spark, folder).select("ticker", "date", "fwd")
+    return book.join(fwd, ["ticker", "date"], "left").groupBy("scenario").agg(F.count("*").alias("holdings"), F.count("fwd").alias("known"), F.round(F.avg("fwd"), 6).alias("fwd"))
+
+
+@register(
+    f"""with {FORWARD}, s as (select unnest([0, 1, 2, 3, 4]) as seed),
+x as (select seed, ticker, date, row_number() over (partition by seed, date order by md5(seed::varchar || '-' || ticker::varchar)) as rk from liq cross join s)
+select seed, count(*) as holdings, round(avg(fwd), 6) as fwd from x left join ic using (ticker, date) where rk <= 15 group by 1"""
+)
+def random_books(spark, folder):
+    """Books of names by a hash of seed and ticker, so a name keeps its place from date to date."""
+    seeds = F.explode(F.array(*[F.lit(k) for k in range(5)]))
+    rows = panel._liquid(spark, folder).select("ticker", "date", seeds.alias("seed"))
+    key = F.md5(F.concat_ws("-", F.col("seed").cast("string"), F.col("ticker").cast("string")))
+    rows = rows.withColumn("rk", F.row_number().over(Window.partitionBy("seed", "date").orderBy(key))).filter("rk <= 15")
+    fwd = panel._forward(spark, folder).select("ticker", "date", "fwd")
+    return rows.join(fwd, ["ticker", "date"], "left").groupBy("seed").agg(F.count("*").alias("holdings"), F.round(F.avg("fwd"), 6).alias("fwd"))
+
+
+@register(
+    f"""with {panel.WEIGHTED}, c as (select date, lead(date) over (order by date) as nx from cal), top as (select date, arg_min(ticker, rnk) as best, count(*) as holdings, sum(weight) as invested from weighted group by 1)
+select top.date as decided_on, c.nx as execution_date, best, holdings, round(invested, 6) as invested from top join c using (date)"""
+)
+def decisions(spark, folder):
+    """One record per decision date: the day it executes, its best name, the number of holdings and what is invested."""
+    bars = panel._bars(spark, folder)
+    days = fx.calendar(bars).withColumn("execution_date", F.lead("date").over(Window.orderBy("date")))  # a row per date
+    book = panel._weighted(spark, folder).groupBy("date").agg(F.min_by("ticker", "rnk").alias("best"), F.count("*").alias("holdings"), F.round(F.sum("weight"), 6).alias("invested"))
+    return book.join(F.broadcast(days), "date").select(F.col("date").alias("decided_on"), "execution_date", "best", "holdings", "invested")
+
+
+FILL = SPLITS + """, o as (select ticker, date, open from stocks_daily where ticker is not null and date is not null qualify row_number() over (partition by ticker, date order by loaded_at desc nulls last, bar_id desc) = 1),
+x as (select p.ticker, p.date, o.open / p.prev - 1 as overnight, p.close / o.open - 1 as intraday from p join o using (ticker, date) where o.open > 0 and isfinite(o.open))"""
+
+
+@register(f"with {FILL} select ticker, count(overnight) as n, round(median(overnight), 6) as overnight, round(median(intraday), 6) as intraday from x group by 1")
+def open_fills(spark, folder):
+    """Per ticker the median return overnight, earned by the old book, and from open to close, earned by the new one."""
+    from almagest.operators.rolling import finite, latest_delivery
+
+    bars = table(spark, folder, "stocks_daily").select("bar_id", "ticker", "date", "open", "close", "loaded_at")
+    bars = latest_delivery(bars, ["ticker", "date"], ["loaded_at", "bar_id"], ["open", "close"])
+    bars = bars.withColumns({"close": finite(F.col("close")), "open": finite(F.col("open"))}).filter("close > 0")
+    x = bars.withColumn("overnight", F.col("open") / F.lag("close").over(Window.partitionBy("ticker").orderBy("date")) - 1).filter("open > 0")
+    return x.groupBy("ticker").agg(F.count("overnight").alias("n"), F.round(F.percentile("overnight", F.lit(0.5)), 6).alias("overnight"), F.round(F.percentile(F.col("close") / F.col("open") - 1, F.lit(0.5)), 6).alias("intraday"))
+
+
+@register(
+    f"""with {rp.DRIFT}, l as (select * from gr qualify row_number() over (partition by start_idx, ticker order by day_idx desc) = 1),
+c as (select ticker, sum(weight * (growth - 1)) as v from l group by 1), r as (select *, row_number() over (order by round(v, 9) desc, ticker) as k from c)
+select round(sum(v), 6) as total, round(sum(case when k > 3 then v end), 6) as without_best, count(*) as names from r"""
+)
+def without_best(spark, folder):
+    """What the books earned in all, and without the three names that contributed most."""
+    last = rp._drift(spark, folder).groupBy("ticker", "start_idx").agg(F.max(F.struct("day_idx", "weight", "growth")).alias("g"))
+    c = last.groupBy("ticker").agg(F.sum(F.col("g.weight") * (F.col("g.growth") - 1)).alias("v"))
+    best = c.orderBy(F.desc(F.round("v", 9)), "ticker").limit(3).select("ticker", F.lit(True).alias("best"))
+    both = c.join(F.broadcast(best), "ticker", "left")  # three rows
+    return both.agg(F.round(F.sum("v"), 6).alias("total"), F.round(F.sum(F.when(F.col("best").isNull(), F.col("v"))), 6).alias("without_best"), F.count("*").alias("names"))
+
+
+@register(f"with {rp.REPORTS} select count(*) as periods, count(filed) as filed, round(quantile_cont(knowable - pe, 0.5), 6) as p50, round(quantile_cont(knowable - pe, 0.95), 6) as p95, round(avg((filed is null)::int), 6) as by_default from known")
+def report_lags(spark, folder):
+    """How long after its end a period became known, and the share that did so by default only."""
+    k = rp._known(spark, folder).withColumn("lag", F.datediff("knowable", "pe"))
+    return k.agg(F.count("*").alias("periods"), F.count("filed").alias("filed"), F.round(F.percentile("lag", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("lag", F.lit(0.95)), 6).alias("p95"), F.round(F.avg(F.col("filed").isNull().cast("double")), 6).alias("by_default"))
+
+
+@register(
+    """with d as (select distinct date, date_trunc('week', date)::date as week from index_daily), s as (select date from d qualify row_number() over (partition by week order by date desc) = 1)
+select date, count(*) as rows_there, count(distinct ticker) as tickers from stocks_daily where date in (select date from s) group by 1"""
+)
+def signal_day_rows(spark, folder):
+    """Rows of signal days only: a semi join on the last day of each week."""
+    dates = sr.last_of_week(panel._index(spark, folder)).select("date").distinct()
+    rows = table(spark, folder, "stocks_daily").select("ticker", "date").join(dates, "date", "left_semi")
+    return rows.groupBy("date").agg(F.count("*").alias("rows_there"), F.countDistinct("ticker").alias("tickers"))
