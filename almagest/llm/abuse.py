@@ -12,6 +12,8 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -64,13 +66,18 @@ def word(raw: str) -> str:
     return _RUN.sub(r"\1", raw.replace("’", "'"))
 
 
+@lru_cache(maxsize=200_000)
+def _words(chunk: str) -> tuple[str, ...]:
+    return tuple(word(w) for w in _WORD.findall(chunk))
+
+
 def phrases(text: str | None) -> list[tuple[str, ...]]:
     """The phrases of a text, as words; a text without words has none."""
     if not text:
         return []
     out = []
     for part in _PHRASE_END.split(clean(text)):
-        words = tuple(word(w) for w in _WORD.findall(part)) if part else ()
+        words = tuple(chain.from_iterable(map(_words, part.split()))) if part else ()
         if words:
             out.append(words)
     return out
