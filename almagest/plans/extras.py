@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from almagest.operators import books, models, reports
+from almagest.operators import books, clusters, models, reports
 from almagest.operators import features as fx
 from almagest.operators import series as sr
 from almagest.plans import panel
@@ -242,31 +242,23 @@ def beta_capped(spark, folder):
 
 @register()
 def consensus_clusters(spark, folder):
-    """Groups of nations whose weekly returns go together: clusterings of three windows and ten seeds, then linkage.
+    """Groups of suppliers whose weekly returns go together, per fit year: three windows, twenty seeds, then linkage.
 
-    Each (window, seed) is a task of its own; the matrix of common assignment is over 25 nations.
+    Suppliers trade in about two of three pairs of successive weeks, hence the coverage; the rest are leftovers.
     """
-    bars = fx.weekly_bars(table(spark, folder, "lineitem").join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).withColumn("l_suppkey", F.col("s_nationkey")))
-    r = fx.with_returns(bars).select("ticker", "day_idx", F.coalesce("ret", F.lit(0.0)).alias("ret"))
-    last = r.groupBy().agg(F.max("day_idx").alias("last"))
-    r = r.join(F.broadcast(last), F.col("day_idx") <= F.col("last"))  # one row
-    tasks = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(s).alias("seed")) for w in (100, 200, 350) for s in range(10)])
-    r = r.select("ticker", "ret", "day_idx", "last", F.inline(tasks)).filter(F.col("day_idx") > F.col("last") - F.col("w"))
-
-    def cluster(part: pd.DataFrame) -> pd.DataFrame:
-        wide = part.pivot_table(index="day_idx", columns="ticker", values="ret").fillna(0.0)
-        label = models.kmeans(models.loadings(wide.to_numpy(), 4), 5, int(part["w"].iloc[0]) * 1000 + int(part["seed"].iloc[0]))
-        return pd.DataFrame({"run": int(part["w"].iloc[0]) * 100 + int(part["seed"].iloc[0]), "ticker": wide.columns, "label": label})
-
-    labels = r.groupBy("w", "seed").applyInPandas(cluster, "run int, ticker long, label int")
-
-    def agree(part: pd.DataFrame) -> pd.DataFrame:
-        wide = part.pivot(index="ticker", columns="run", values="label")
-        x = wide.to_numpy()
-        together = (x[:, None] == x[None]).mean(axis=2)
-        return pd.DataFrame({"nation": wide.index, "grp": models.linkage_groups(together, 5, 2)})
-
-    return labels.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(agree, "nation long, grp int")
+    r = fx.with_returns(panel._bars(spark, folder)).select("ticker", "date", "day_idx", "ret")
+    return clusters.consensus(r, k=5, seeds=20, windows=[100, 200, 350], components=4, coverage=0.6, least=15, min_days=60)
+
+
+@register(
+    """with l as (select vec_id as ticker, 0 as run, label from embeddings union all select vec_id, 1, vec_id % 7 from embeddings)
+select x.ticker as a, y.ticker as b, count(*) as together, 2::bigint as both from l x join l y on x.run = y.run and x.label = y.label and x.ticker < y.ticker group by 1, 2"""
+)
+def coassign(spark, folder):
+    """In how many of two groupings each pair of vectors is together; pairs that never are have no row."""
+    runs = F.array(F.struct(F.lit(0).alias("run"), F.col("label").cast("long").alias("label")), F.struct(F.lit(1).alias("run"), (F.col("vec_id") % 7).alias("label")))
+    labels = table(spark, folder, "embeddings").select(F.col("vec_id").alias("ticker"), F.inline(runs))
+    return clusters.coassign(labels, []).filter("a < b")
 
 
 # --- decisions and scenarios
