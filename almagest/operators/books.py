@@ -86,7 +86,7 @@ def forward_filter(x: np.ndarray, start: np.ndarray, move: np.ndarray, mean: np.
     for t, value in enumerate(x):
         if t:
             state = state @ move
-        state = state * np.exp(-0.5 * ((value - mean) / spread) ** 2) / spread + 1e-300
+        state = state * (np.exp(-0.5 * ((value - mean) / spread) ** 2) / (spread * np.sqrt(2 * np.pi)) + 1e-300)
         state = state / state.sum()
         out[t] = state[1]
     return out

@@ -176,16 +176,17 @@ def factor_ic(spark, folder):
 
 @register()
 def hmm_fit(spark, folder):
-    """Two-state model of each index by expectation maximisation, fitted per year on the days before it ends."""
+    """Two-state model of each index by expectation maximisation, for each year fitted on the days before it begins."""
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
-        p = models.fit_two_states(part.sort_values("date")["ret"].to_numpy() * 100)
+        part = part[part["year"] < part["fit_year"]].sort_values("date")
+        if len(part) < rp.LEAST_HISTORY:
+            return pd.DataFrame({"name": [], "fit_year": [], "calm_sd": [], "stress_sd": [], "stay_calm": [], "stay_stress": []}, dtype=object)
+        p = models.fit_two_states(part["ret"].to_numpy() * 100)
         row = {"name": part["name"].iloc[0], "fit_year": part["fit_year"].iloc[0], "calm_sd": p["sd"][0], "stress_sd": p["sd"][1], "stay_calm": p["move"][0, 0], "stay_stress": p["move"][1, 1]}
         return pd.DataFrame([row]).round(6)
 
-    r = panel._index_returns(spark, folder).filter("ret is not null")
-    years = F.filter(F.array(*[F.lit(y) for y in (2023, 2024, 2025)]), lambda y: y >= F.year("date"))
-    return r.select("name", "date", "ret", F.explode(years).alias("fit_year")).groupBy("name", "fit_year").applyInPandas(fit, "name string, fit_year int, calm_sd double, stress_sd double, stay_calm double, stay_stress double")
+    return rp._upto_year(spark, folder).groupBy("name", "fit_year").applyInPandas(fit, "name string, fit_year int, calm_sd double, stress_sd double, stay_calm double, stay_stress double")
 
 
 @register()

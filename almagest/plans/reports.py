@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from almagest.operators import books, nearest, reports, rolling
+from almagest.operators import books, models, nearest, reports, rolling
 from almagest.operators import features as fx
 from almagest.operators import series as sr
 from almagest.plans import panel
@@ -266,19 +266,35 @@ def adj_rand(spark, folder):
     return t.select(F.round((F.col("ab") - chance) / F.nullif((F.col("ra") + F.col("rb")) / 2 - chance, F.lit(0.0)), 6).alias("ari"))
 
 
+#: Returns before 1 January of a year that a model of that year takes.
+LEAST_HISTORY = 125
+
+
+def _upto_year(spark, folder):
+    """Each year of an index (``fit_year``) with the returns of all days up to its end."""
+    r = panel._index_returns(spark, folder).filter("ret is not null and not isnan(ret)").select("name", "date", "ret", F.year("date").alias("year"))
+    years = r.select("name", F.col("year").alias("fit_year")).distinct()
+    return r.join(years, "name").filter("year <= fit_year")
+
+
 @register()
 def hmm_filter(spark, folder):
-    """Probability of the volatile state of each index by the forward recursion, one ordered scan per index."""
+    """Probability of the volatile state of each index, by the forward recursion with models fitted walk-forward.
+
+    The days of a year are filtered with the model of the days before it, over all days so far. A year with less than
+    ``LEAST_HISTORY`` returns before it has no model, so its days have no row. One task per index and year.
+    """
 
     def scan(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("date")
-        x = part["ret"].to_numpy() * 100
-        sd = x.std()
-        p = books.forward_filter(x, np.array([0.9, 0.1]), np.array([[0.98, 0.02], [0.05, 0.95]]), np.array([x.mean(), x.mean() - 0.5 * sd]), np.array([0.7 * sd, 2.0 * sd]))
-        return pd.DataFrame({"name": part["name"], "date": part["date"], "p_stress": p.round(6)})
-
-    r = panel._index_returns(spark, folder).filter("ret is not null").select("name", "date", "ret")
-    return r.groupBy("name").applyInPandas(scan, "name string, date date, p_stress double")
+        x, own = part["ret"].to_numpy() * 100, (part["year"] == part["fit_year"]).to_numpy()
+        if (~own).sum() < LEAST_HISTORY:
+            return pd.DataFrame({"name": [], "date": [], "p_stress": []}, dtype=object)
+        m = models.fit_two_states(x[~own])
+        p = books.forward_filter(x, m["pi"], m["move"], m["mean"], m["sd"])
+        return pd.DataFrame({"name": part["name"][own], "date": part["date"][own], "p_stress": p[own].round(6)})
+
+    return _upto_year(spark, folder).groupBy("name", "fit_year").applyInPandas(scan, "name string, date date, p_stress double")
 
 
 @register()
