@@ -47,10 +47,26 @@ def select_banded(rank: dict, group: dict, held: list, n: int = 15, exit_rank: i
     return picks
 
 
+def within_reach(ranked: DataFrame, top: int, quota: int) -> DataFrame:
+    """Rows of ``date, grp, rnk`` that a selection can take: up to rank ``top``, and the best ``quota`` of each group.
+
+    Exact if no exit rank, number of names or swap pool is above ``top`` and no quota above ``quota``: beyond ``top``
+    names enter by rank alone, so after ``quota`` better ones of their group. Group ``all`` has no quota and stays whole.
+    """
+    own = F.row_number().over(Window.partitionBy("date", "grp").orderBy("rnk"))
+    free = F.coalesce(F.col("grp").cast("string") == "all", F.lit(False))
+    return ranked.withColumn("__own", own).filter((F.col("rnk") <= top) | (F.col("__own") <= quota) | free).drop("__own")
+
+
+def groups_of(part: pd.DataFrame) -> dict:
+    """Group of each ticker; names without one are a group as well."""
+    return dict(zip(part["ticker"], part["grp"].astype(object).where(part["grp"].notna(), None)))
+
+
 def banded_books(candidates: DataFrame, scenarios: list[tuple[int, int, int, int]]) -> DataFrame:
     """Books of every scenario (its number, names, exit rank, quota of a group) over all dates, each from the one before.
 
-    ``candidates`` has the best-ranked names of each date (``date, ticker, grp, rnk``, enough ranks to fill quotas).
+    ``candidates`` has the ranked names of each date (``date, ticker, grp, rnk``), at least those ``within_reach``.
     A scenario is one sequential scan, so it is one group: dates times candidates. Scenarios run in parallel.
     """
 
@@ -58,7 +74,7 @@ def banded_books(candidates: DataFrame, scenarios: list[tuple[int, int, int, int
         out, held = [], []
         spec = group.iloc[0]
         for date, part in group.groupby("date", sort=True):
-            held = select_banded(dict(zip(part["ticker"], part["rnk"])), dict(zip(part["ticker"], part["grp"])), held, int(spec["n"]), int(spec["exit_rank"]), int(spec["quota"]))
+            held = select_banded(dict(zip(part["ticker"], part["rnk"])), groups_of(part), held, int(spec["n"]), int(spec["exit_rank"]), int(spec["quota"]))
             out += [(spec["scenario_id"], date, t, 1.0 / len(held)) for t in held]
         return pd.DataFrame(out, columns=["scenario_id", "date", "ticker", "weight"])
 

@@ -229,15 +229,16 @@ def monte_carlo(spark, folder):
 def beta_capped(spark, folder):
     """Unheld books of all dates with high-beta names swapped until the book's beta is at most 1.05."""
     rank = F.row_number().over(Window.partitionBy("date").orderBy(F.desc(F.round("score", 9)), "ticker"))
-    ranked = panel._scored(spark, folder).withColumn("rnk", rank).filter("rnk <= 60").select("date", "ticker", "grp", "rnk", "beta")
+    ranked = panel._scored(spark, folder).withColumn("rnk", rank).select("date", "ticker", "grp", "rnk", "beta")
+    pool, quota = 30, 4  # as in the selection and the swaps below
 
     def swap(part: pd.DataFrame) -> pd.DataFrame:
         by = part.set_index("ticker")
-        order, group, beta = by["rnk"].to_dict(), by["grp"].to_dict(), {t: b for t, b in by["beta"].items() if b == b}
-        picks = models.beta_limited(books.select_banded(order, group, []), order, group, beta, limit=1.05)
+        order, group, beta = by["rnk"].to_dict(), books.groups_of(part), {t: b for t, b in by["beta"].items() if b == b}
+        picks = models.beta_limited(books.select_banded(order, group, [], quota=quota), order, group, beta, limit=1.05, pool=pool, quota=quota)
         return pd.DataFrame({"date": part["date"].iloc[0], "ticker": picks, "beta": [beta.get(t, 1.0) for t in picks]})
 
-    out = ranked.groupBy("date").applyInPandas(swap, "date date, ticker long, beta double")
+    out = books.within_reach(ranked, pool, quota).groupBy("date").applyInPandas(swap, "date date, ticker long, beta double")
     return rounded(out, "beta")
 
 

@@ -211,12 +211,16 @@ def contributions(spark, folder):
     return last.groupBy("ticker").agg(F.count("*").alias("periods"), F.round(F.sum(F.col("g.weight") * (F.col("g.growth") - 1)), 6).alias("contribution"))
 
 
+#: Scenarios of books: number, names, exit rank, quota of a group.
+BANDED = [(1, 15, 30, 4), (2, 15, 15, 4), (3, 15, 60, 4), (4, 25, 50, 7)]
+
+
 @register()
 def backtest_banded(spark, folder):
     """Books of four scenarios with exit bands, each carried from date to date, and their value path by week."""
     ranked = panel._scored(spark, folder).withColumn("rnk", F.row_number().over(Window.partitionBy("date").orderBy(F.desc(F.round("score", 9)), "ticker")))
-    candidates = ranked.filter("rnk <= 90").select("date", "ticker", "grp", "rnk")
-    book = books.banded_books(candidates, [(1, 15, 30, 4), (2, 15, 15, 4), (3, 15, 60, 4), (4, 25, 50, 7)])
+    top, quota = max(max(n, leave) for _, n, leave, _ in BANDED), max(q for *_, q in BANDED)
+    book = books.banded_books(books.within_reach(ranked.select("date", "ticker", "grp", "rnk"), top, quota), BANDED)
     w = Window.partitionBy("ticker").orderBy("day_idx")
     nxt = fx.weekly_bars(table(spark, folder, "lineitem")).select("ticker", "date", (F.max("close").over(w.rangeBetween(1, 1)) / F.col("close") - 1).alias("next_ret"))
     return book.join(nxt, ["ticker", "date"], "left").groupBy("scenario_id", "date").agg(F.count("*").alias("names"), F.round(F.sum(F.col("weight") * F.coalesce("next_ret", F.lit(0.0))), 6).alias("next_ret"))
