@@ -225,6 +225,31 @@ def monte_carlo(spark, folder):
     return out.agg(F.count("*").alias("paths"), *[F.round(F.percentile("total", F.lit(p / 100)), 6).alias(f"p{p:02d}") for p in (5, 50, 95)], F.round(F.avg((F.col("total") < 0).cast("double")), 6).alias("loss"))
 
 
+@register()
+def joint_monte_carlo(spark, folder):
+    """Compounded returns of the pair over 21 days, drawn together in blocks of mean length 5: 20,000 paths over tasks."""
+    runs = rp._pair(spark, folder).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(199)))).repartition("run")
+
+    def draw(batches):
+        for batch in batches:
+            for a, b, run in zip(batch["a"], batch["b"], batch["run"]):
+                a, b, rng = np.asarray(a), np.asarray(b), np.random.default_rng(int(run))
+                jump = rng.random((100, 21)) < 0.2
+                jump[:, 0] = True
+                begin = np.maximum.accumulate(np.where(jump, np.arange(21), 0), axis=1)
+                start = np.take_along_axis(rng.integers(0, len(a), (100, 21)), begin, axis=1)
+                at = (start + np.arange(21) - begin) % len(a)
+                yield pd.DataFrame({"own": np.prod(1 + a[at], axis=1) - 1, "index": np.prod(1 + b[at], axis=1) - 1})
+
+    out = runs.mapInPandas(draw, "own double, index double")
+    share = lambda c: F.round(F.avg(c.cast("double")), 6)
+    own, ahead = F.col("own"), F.col("own") - F.col("index")
+    return out.agg(
+        F.count("*").alias("paths"), *[F.round(F.percentile("own", F.lit(p / 100)), 6).alias(f"p{p:02d}") for p in (5, 50, 95)],
+        share(own < 0).alias("loss"), share(own > F.col("index")).alias("beats"), share(own < -0.05).alias("loss_over_5"), share(ahead < -0.03).alias("trails_by_3"),
+    )
+
+
 @register()
 def beta_capped(spark, folder):
     """Unheld books of all dates with high-beta names swapped until the book's beta is at most 1.05."""

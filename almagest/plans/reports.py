@@ -327,6 +327,43 @@ def bootstrap(spark, folder):
     return out.agg(F.count("*").alias("runs"), F.round(F.percentile("mean", F.lit(0.05)), 8).alias("p05"), F.round(F.percentile("mean", F.lit(0.5)), 8).alias("p50"), F.round(F.percentile("mean", F.lit(0.95)), 8).alias("p95"))
 
 
+PAIR = ("SMALLCOMP", "MKTCOMP")
+
+
+def _pair(spark, folder):
+    """Returns of the pair of indices on the days that both have, in order of date: one row, as all draws need all days."""
+    r = panel._index_returns(spark, folder).filter("ret is not null and not isnan(ret)").groupBy("date").pivot("name", list(PAIR)).agg(F.max("ret")).dropna()
+    days = r.agg(F.sort_array(F.collect_list(F.struct("date", *PAIR))).alias("s")).filter("size(s) > 0")
+    return days.select(*[F.col(f"s.{n}").alias(c) for n, c in zip(PAIR, "ab")])
+
+
+@register()
+def paired_bootstrap(spark, folder):
+    """Yearly return gap of the pair by a stationary bootstrap of its daily gaps: 2000 replicates, mean block 21 days.
+
+    A replicate takes both returns of a day together. ``p`` is the share of replicates with a gap of zero or less.
+    """
+    runs = _pair(spark, folder).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(1999)))).repartition("run")
+
+    def draw(batches):
+        for batch in batches:
+            means = []
+            for a, b, run in zip(batch["a"], batch["b"], batch["run"]):
+                gap, rng = np.asarray(a) - np.asarray(b), np.random.default_rng(int(run))
+                n = len(gap)
+                jump = rng.random(n) < 1 / 21
+                jump[0] = True
+                starts = rng.integers(0, n, n)
+                begin = np.maximum.accumulate(np.where(jump, np.arange(n), 0))
+                means.append(gap[(starts[begin] + np.arange(n) - begin) % n].mean())
+            yield pd.DataFrame({"days": batch["a"].map(len), "gap": [(np.asarray(a) - np.asarray(b)).mean() for a, b in zip(batch["a"], batch["b"])], "mean": means})
+
+    out = runs.mapInPandas(draw, "days long, gap double, mean double").groupBy("days", "gap").agg(
+        F.count("*").alias("runs"), F.avg((F.col("mean") <= 0).cast("double")).alias("p"), *[F.percentile("mean", F.lit(q / 100)).alias(f"p{q:02d}") for q in (5, 95)]
+    )
+    return out.select("days", "runs", F.round(F.col("gap") * 252, 6).alias("gap"), F.round("p", 6).alias("p"), F.round(F.col("p05") * 252, 6).alias("p05"), F.round(F.col("p95") * 252, 6).alias("p95"))
+
+
 @register()
 def kmeans(spark, folder):
     """Ten clusters of the embeddings by k-means, with the share of each cluster's commonest label."""
