@@ -60,8 +60,10 @@ def pack(items: DataFrame, item_id: str, size: str, capacities: dict[int, int],
     whole = F.when(F.col("amount") > F.col("capacity"), F.floor(F.col("amount") / F.col("capacity")).cast("long")).otherwise(0)
     rows = rows.withColumn("whole", whole).withColumn("rest", F.col("amount") - F.col("whole") * F.col("capacity"))
     parts = F.sequence(F.lit(1).cast("long"), F.col("whole"))
-    full = rows.filter("whole > 0").select("spec_id", "item_id", F.explode(parts).alias("part_no"), F.col("capacity").alias("size"))
-    full = full.withColumn("container_id", F.concat_ws("-", F.lit("full"), "item_id", "part_no"))
+    # Ids may repeat or be null, so each oversized row has a number of its own, which the checkpoint makes final.
+    large = checkpoint(rows.filter("whole > 0").withColumn("row", F.monotonically_increasing_id()))
+    full = large.select("spec_id", "row", "item_id", F.explode(parts).alias("part_no"), F.col("capacity").alias("size"))
+    full = full.withColumn("container_id", F.concat_ws("-", F.lit("full"), "row", "part_no"))
     empty = rows.filter("amount = 0").select("spec_id", F.lit(None).cast("string").alias("container_id"), "item_id", F.lit(0).cast("long").alias("part_no"), F.lit(0).cast("long").alias("size"))
     spread = F.xxhash64("item_id", "spec_id")
     todo = rows.filter("rest > 0").select("spec_id", "capacity", "item_id", F.when(F.col("whole") > 0, F.col("whole") + 1).otherwise(0).alias("part_no"), F.col("rest").alias("size"), spread.alias("spread"))
