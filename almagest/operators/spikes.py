@@ -94,8 +94,7 @@ def spike_profile(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 near_lo, near_hi = x[before[-1]], x[b]
                 off = np.minimum(np.abs(x[a:b] - lo), np.abs(x[a:b] - hi))
                 line = max(IN_LINE * move[a], 0.25 * off.min())
-                side = np.sign(x[a:b] - lo)
-                if (off > far[a:b]).all() and (side == side[0]).all() and max(abs(hi - lo), abs(near_hi - near_lo), abs(near_lo - lo), abs(near_hi - hi)) <= line:
+                if (off > far[a:b]).all() and max(abs(hi - lo), abs(near_hi - near_lo), abs(near_lo - lo), abs(near_hi - hi)) <= line:
                     spike[a:b] = True
                     level[a:b] = (near_lo + near_hi) / 2
                     break
