@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from statistics import median
 
 import numpy as np
 import pandas as pd
@@ -11,18 +12,28 @@ from pyspark.sql import functions as F
 
 from almagest.operators.rolling import latest_delivery
 
-#: Readings in a row of the profile matrix; readings that a spike may last; readings from which a run counts as stuck.
-WIDTH, LONGEST_SPIKE, STUCK_RUN = 10, 3, 5
+#: Readings in a row of the profile matrix (a month of trading days); readings that a spike may last; readings from
+#: which a run counts as stuck.
+WIDTH, LONGEST_SPIKE, STUCK_RUN = 20, 3, 5
 #: In units of a source's normal move: least size of a sparse entry to be examined, and of a deviation to be a spike.
-CANDIDATE, FAR_OFF = 3.0, 6.0
+CANDIDATE, FAR_OFF = 2.0, 6.0
+#: Rounds, tolerance and growth of the penalty by which the matrices are parted: enough for what only proposes candidates.
+COARSE = (200, 1e-3, 1.5)
 #: Normal moves by which the levels before and after a spike may differ; weight of the moves near against all.
 IN_LINE, NEAR = 6.0, 0.8
-#: Least deviation in logs; share of unchanged readings up to which a source counts as normally changing.
-LEAST_LOG, SELDOM = 0.03, 0.2
+#: Least deviation in logs; share of unchanged readings, runs included, up to which a source counts as normally changing.
+LEAST_LOG, SELDOM = 0.03, 0.4
 
 
-def robust_pca(x: np.ndarray, rounds: int = 200, tolerance: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
-    """Principal component pursuit: ``x`` as a low-rank matrix plus a sparse one (augmented Lagrangian method)."""
+def robust_pca(x: np.ndarray, rounds: int = 200, tolerance: float = 1e-5, growth: float = 1.1) -> tuple[np.ndarray, np.ndarray]:
+    """Principal component pursuit: ``x`` as a low-rank matrix plus a sparse one (augmented Lagrangian method).
+
+    Singular values are shrunk by the eigenvectors of the product of the narrow side, so a long matrix costs no more
+    than a few small products per round.
+    """
+    if x.shape[0] < x.shape[1]:
+        low, sparse = robust_pca(x.T, rounds, tolerance, growth)
+        return low.T, sparse.T
     weight = 1.0 / np.sqrt(max(x.shape))
     norm = np.linalg.norm(x, 2) if x.size else 0.0
     sparse = np.zeros_like(x)
@@ -31,18 +42,37 @@ def robust_pca(x: np.ndarray, rounds: int = 200, tolerance: float = 1e-5) -> tup
     dual = x / max(norm, np.abs(x).max() / weight)
     mu, size = 1.25 / norm, np.linalg.norm(x)
     for _ in range(rounds):
-        u, s, v = np.linalg.svd(x - sparse + dual / mu, full_matrices=False)
-        low = (u * np.maximum(s - 1 / mu, 0)) @ v
+        part = x - sparse + dual / mu
+        square, v = np.linalg.eigh(part.T @ part)
+        keep = np.maximum(1 - 1 / (mu * np.sqrt(np.maximum(square, 1e-300))), 0)
+        low = part @ ((v * keep) @ v.T)
         rest = x - low + dual / mu
         sparse = np.sign(rest) * np.maximum(np.abs(rest) - weight / mu, 0)
         gap = x - low - sparse
         dual += mu * gap
-        mu *= 1.1
+        mu *= growth
         if np.linalg.norm(gap) <= tolerance * size:
             break
     return low, sparse
 
 
+def sparse_part(x: np.ndarray, middle: np.ndarray) -> np.ndarray:
+    """What robust principal components leave of a series of logs beside its normal, low-rank behaviour.
+
+    The series is a matrix with a row for each ``WIDTH`` readings, a month's profile: the levels of the months and the
+    ways through them are of low rank. Rows begin half a row later in a second matrix, so that no reading stands at
+    the edge of both; the larger of the two entries counts. Rows are filled up from ``middle``, its running median.
+    """
+    n, centre = len(x), np.median(x)
+    out = np.zeros(n)
+    for skip in (0, WIDTH // 2):
+        rows = -(-(n + skip) // WIDTH)
+        filled = np.concatenate([np.full(skip, middle[0]), x, np.full(rows * WIDTH - n - skip, middle[-1])]) - centre
+        _, sparse = robust_pca(filled.reshape(rows, WIDTH), *COARSE)
+        out = np.maximum(out, np.abs(sparse.ravel()[skip : skip + n]))
+    return out
+
+
 def _running_median(x: np.ndarray, reach: int) -> np.ndarray:
     padded = np.pad(x, reach, mode="reflect") if len(x) > reach else np.pad(x, reach, mode="edge")
     return np.median(np.lib.stride_tricks.sliding_window_view(padded, 2 * reach + 1), axis=1)
@@ -64,9 +94,9 @@ def normal_move(x: np.ndarray) -> np.ndarray:
 def spike_profile(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For a series of logs: its level without spikes, the deviation from it that is too far, and which readings are spikes.
 
-    The series less its running median is cut into rows of a matrix, one profile of ``WIDTH`` readings each. Robust
-    principal components take the normal behaviour out of it as low rank; what is left as sparse and large are the
-    candidates. A run of candidates is a spike if it is short, far from the level before and after, and these agree.
+    Robust principal components of the source's profile matrix take its normal behaviour out as low rank; what is left
+    as sparse and large are the candidates (:func:`sparse_part`), and only these can be spikes. An exact check follows: a
+    run of candidates is a spike if it is short, far from the level before and after, and these agree.
     """
     n = len(x)
     move = normal_move(x)
@@ -75,26 +105,27 @@ def spike_profile(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if n < 5:
         return level, far, spike
     unit = np.maximum(move, LEAST_LOG / FAR_OFF)
-    rest = (x - _running_median(x, LONGEST_SPIKE + 1)) / unit
-    rows = -(-n // WIDTH)
-    _, sparse = robust_pca(np.append(rest, np.zeros(rows * WIDTH - n)).reshape(rows, WIDTH))
-    candidate = np.abs(sparse.ravel()[:n]) > CANDIDATE
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], candidate.view(np.int8), [0]])))
+    candidate = sparse_part(x, _running_median(x, LONGEST_SPIKE + 1)) > CANDIDATE * unit
+    values, limits, moves = x.tolist(), far.tolist(), move.tolist()
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], candidate.view(np.int8), [0]]))).tolist()
     for begin, end in zip(edges[::2], edges[1::2]):
         # A normal large move beside a spike may be a candidate too: every short run inside is examined.
         for a in range(begin, end):
-            if spike[a]:
+            before = [values[i] for i in range(max(0, a - 3), a) if not spike[i]]
+            if spike[a] or not before:
+                continue
+            lo, near_lo = median(before), before[-1]
+            if not abs(values[a] - lo) > limits[a]:
                 continue
             for b in range(min(a + LONGEST_SPIKE, end), a, -1):
-                before, after = [i for i in range(max(0, a - 3), a) if not spike[i]], range(b, min(n, b + 3))
-                if not before or not len(after):
+                after = values[b : b + 3]
+                if not after:
                     continue
-                lo, hi = np.median(x[before]), np.median(x[after])
                 # The nearest readings must be in line too, else a neighbour of the run is off itself.
-                near_lo, near_hi = x[before[-1]], x[b]
-                off = np.minimum(np.abs(x[a:b] - lo), np.abs(x[a:b] - hi))
-                line = max(IN_LINE * move[a], 0.25 * off.min())
-                if (off > far[a:b]).all() and max(abs(hi - lo), abs(near_hi - near_lo), abs(near_lo - lo), abs(near_hi - hi)) <= line:
+                hi, near_hi = median(after), after[0]
+                off = [min(abs(values[i] - lo), abs(values[i] - hi)) for i in range(a, b)]
+                line = max(IN_LINE * moves[a], 0.25 * min(off))
+                if all(o > limits[a + k] for k, o in enumerate(off)) and max(abs(hi - lo), abs(near_hi - near_lo), abs(near_lo - lo), abs(near_hi - hi)) <= line:
                     spike[a:b] = True
                     level[a:b] = (near_lo + near_hi) / 2
                     break
@@ -102,20 +133,26 @@ def spike_profile(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def stuck(value: np.ndarray, active: np.ndarray) -> np.ndarray:
-    """Which readings repeat the one before, in a run of ``STUCK_RUN`` or more equal ones, all active."""
+    """Which readings repeat the one before, in a run of ``STUCK_RUN`` or more equal ones, all active.
+
+    None are where the value doesn't normally change: of all pairs of successive active readings, those in runs
+    included, more than the share ``SELDOM`` is equal. A pegged value lies still in many runs, long and short; judged on
+    what lies outside its runs it could seem to move.
+    """
     n = len(value)
-    same = np.zeros(n, dtype=bool)
-    if n > 1:
-        same[1:] = (value[1:] == value[:-1]) & active[1:] & active[:-1]
     out = np.zeros(n, dtype=bool)
+    if n < 2:
+        return out
+    pairs = np.zeros(n, dtype=bool)
+    pairs[1:] = active[1:] & active[:-1] & np.isfinite(value[1:]) & np.isfinite(value[:-1])
+    same = pairs.copy()
+    same[1:] &= value[1:] == value[:-1]
+    if same.sum() > SELDOM * pairs.sum():
+        return out
     edges = np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]])))
     for begin, end in zip(edges[::2], edges[1::2]):
         if end - begin + 1 >= STUCK_RUN:
             out[begin:end] = True
-    pairs = (active[1:] & active[:-1] & np.isfinite(value[1:]) & np.isfinite(value[:-1])) if n > 1 else np.zeros(0, bool)
-    usual = pairs & ~out[1:] if n > 1 else pairs
-    if not usual.any() or (same[1:] & usual).sum() / usual.sum() > SELDOM:
-        out[:] = False
     return out
 
 

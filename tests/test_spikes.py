@@ -70,3 +70,13 @@ def test_flag_events(spark):
     df = spark.createDataFrame(rows, "id long, e string, d date, kind string, v double")
     assert sorted(r.id for r in flag_events(df, "e", "d", "kind", "v", "id").collect()) == [100, 101, 102, 106]
     assert flag_events(df.limit(0), "e", "d", "kind", "v", "id").count() == 0
+
+
+def test_pegged_values_are_not_stuck():
+    """A value that lies still in many runs doesn't normally change, however little of it lies outside the runs."""
+    for between in ([1, 2, 1, 2], [1, 1, 2, 1, 1, 2]):  # of the pairs outside the runs none, or a third, are equal
+        v = np.array([x for k, n in enumerate((8, 10, 20, 35, 43, 78)) for x in [10 + 0.01 * (k % 3)] * n + [10 + 0.05 * y for y in between]])
+        assert (np.diff(v) == 0).mean() > 0.8 and not stuck(v, np.ones(len(v), bool)).any()
+    v = np.arange(60, dtype=float)
+    v[20:34] = 20.0  # one long run of a value that else changes each time
+    assert np.flatnonzero(stuck(v, np.ones(60, bool))).tolist() == list(range(21, 34))
