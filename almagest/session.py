@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,12 +28,14 @@ def local_session(cpus: int = 8, partitions: int = 8) -> SparkSession:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Where that setting is absent
-    (tests on one machine) a temporary folder is set.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. A session on one machine that names none
+    gets a temporary folder; on a cluster that would be another one on each machine, so there it is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="almagest-checkpoint-"))
     return df.checkpoint(eager=True)
