@@ -17,6 +17,8 @@ from almagest.operators.rolling import latest_delivery
 WIDTH, LONGEST_SPIKE, STUCK_RUN = 20, 3, 5
 #: In units of a source's normal move: least size of a sparse entry to be examined, and of a deviation to be a spike.
 CANDIDATE, FAR_OFF = 2.0, 6.0
+#: Readings that go back from Python together.
+TOGETHER = 100_000
 #: Rounds, tolerance and growth of the penalty by which the matrices are parted: enough for what only proposes candidates.
 COARSE = (200, 1e-3, 1.5)
 #: Normal moves by which the levels before and after a spike may differ; weight of the moves near against all.
@@ -156,6 +158,18 @@ def stuck(value: np.ndarray, active: np.ndarray) -> np.ndarray:
     return out
 
 
+def carried(x: np.ndarray, otherwise: float) -> np.ndarray:
+    """``x`` with NaN replaced by the last value before, at the start by the first one after."""
+    known = np.flatnonzero(~np.isnan(x))
+    if not len(known):
+        return np.full(len(x), otherwise)
+    return x[known[np.maximum(np.searchsorted(known, np.arange(len(x)), side="right") - 1, 0)]]
+
+
+def joined(parts: list[dict[str, np.ndarray]]) -> pd.DataFrame:
+    return pd.DataFrame({c: np.concatenate([p[c] for p in parts]) for c in parts[0]})
+
+
 def flag_series(
     df: DataFrame, entity: str, day: str, value: str, row_id: str, activity: str, order: Sequence[str], market: DataFrame
 ) -> DataFrame:
@@ -176,21 +190,31 @@ def flag_series(
     series = daily.groupBy("__e").agg(F.sort_array(F.collect_list(F.struct(F.unix_date("__d").alias("d"), "__v", "__a", "__m"))).alias("s"))
     series = series.select("__e", *[F.col(f"s.{c}").alias(c) for c in ("d", "__v", "__a", "__m")])
 
+    def judged_source(e, d, v, a, m) -> dict[str, np.ndarray]:
+        v, a, m = (np.array(x, dtype=np.float64) for x in (v, a, m))
+        with np.errstate(all="ignore"):
+            fits = np.isfinite(v) & (v > 0)
+            logs = np.log(np.where(fits, v, 1.0))
+            market_log = carried(np.log(np.where(m > 0, m, np.nan)), 0.0)
+        level, far = np.full(len(v), np.nan), np.full(len(v), np.nan)
+        if fits.any():
+            low, limit, _ = spike_profile((logs - market_log)[fits])
+            level[fits], far[fits] = low + market_log[fits], limit
+            level, far = carried(level, np.nan), carried(far, np.nan)
+        same = np.where(stuck(v, np.isfinite(a) & (a > 0)), v, np.nan)
+        return {"__e": np.full(len(v), e, dtype=object), "__n": np.asarray(d), "__level": level, "__far": far, "__stuck": same}
+
     def profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done, size = [], 0
         for batch in batches:
-            for e, d, v, a, m in batch.itertuples(index=False, name=None):
-                v, a, m = (np.array(x, dtype=np.float64) for x in (v, a, m))
-                with np.errstate(all="ignore"):
-                    fits = np.isfinite(v) & (v > 0)
-                    logs = np.log(np.where(fits, v, 1.0))
-                    market_log = pd.Series(np.log(np.where(m > 0, m, np.nan))).ffill().bfill().fillna(0.0).to_numpy()
-                level, far = np.full(len(v), np.nan), np.full(len(v), np.nan)
-                if fits.any():
-                    low, limit, _ = spike_profile((logs - market_log)[fits])
-                    level[fits], far[fits] = low + market_log[fits], limit
-                    seen = pd.Series(level)
-                    level, far = seen.ffill().bfill().to_numpy(), pd.Series(far).ffill().bfill().to_numpy()
-                yield pd.DataFrame({"__e": e, "__n": d, "__level": level, "__far": far, "__stuck": np.where(stuck(v, np.isfinite(a) & (a > 0)), v, np.nan)})
+            for row in batch.itertuples(index=False, name=None):
+                done.append(judged_source(*row))
+                size += len(row[1])
+                if size >= TOGETHER:
+                    yield joined(done)
+                    done, size = [], 0
+        if done:
+            yield joined(done)
 
     kind = rows.schema["__e"].dataType.simpleString()
     profile = series.mapInPandas(profiles, f"__e {kind}, __n int, __level double, __far double, __stuck double")
@@ -244,7 +268,7 @@ def event_outliers(x: np.ndarray) -> np.ndarray:
     width = min(8, n)
     rows = -(-n // width)
     centred = x - np.median(x)
-    _, sparse = robust_pca(np.append(centred, np.zeros(rows * width - n)).reshape(rows, width))
+    _, sparse = robust_pca(np.append(centred, np.zeros(rows * width - n)).reshape(rows, width), *COARSE)
     candidate = np.abs(sparse.ravel()[:n]) > 0.25 * EVENT_LEAST
     good = x[~candidate] if (~candidate).sum() >= 3 else x
     out = np.zeros(n, dtype=bool)
