@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from almagest.operators import models
+
 
 def no_trade(targets: DataFrame, band: float = 0.02) -> DataFrame:
     """Each rebalance against the target before: small changes are not traded, the others are scaled to the total.
@@ -98,11 +100,4 @@ def drift(returns: DataFrame, books: DataFrame) -> DataFrame:
 
 def forward_filter(x: np.ndarray, start: np.ndarray, move: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
     """Probability of the second of two states at each step, given the observations so far."""
-    state, out = start, np.empty(len(x))
-    for t, value in enumerate(x):
-        if t:
-            state = state @ move
-        state = state * (np.exp(-0.5 * ((value - mean) / spread) ** 2) / (spread * np.sqrt(2 * np.pi)) + 1e-300)
-        state = state / state.sum()
-        out[t] = state[1]
-    return out
+    return models.filtered(x, start, move, mean, spread)[0][:, 1]

@@ -65,24 +65,42 @@ def labelled(returns: DataFrame, years: DataFrame, k: int, seeds: int, windows:
     return runs.groupBy("fit_year", "w", "seed").applyInPandas(cluster, f"fit_year int, run int, ticker {kind}, label int")
 
 
+def profiles(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names of ``ticker, run, label`` and two matrices whose products of rows are their shares of common runs.
+
+    A row has a one for each run and the label in it. Products of such rows count the runs that put two names together;
+    the share divides by the runs that have both, which depends on the sets of runs of the two names only. So there is a
+    block of columns for each such set, and one side carries the divisors.
+    """
+    names, at = np.unique(part["ticker"].to_numpy(), return_inverse=True)
+    runs, run = np.unique(part["run"].to_numpy(), return_inverse=True)
+    cells, cell = np.unique(run * (int(part["label"].max()) + 1) + part["label"].to_numpy(), return_inverse=True)
+    ones, has = np.zeros((len(names), len(cells))), np.zeros((len(names), len(runs)), dtype=bool)
+    ones[at, cell], has[at, run] = 1.0, True
+    sets, kind = np.unique(has, axis=0, return_inverse=True)
+    kind, both = kind.ravel(), sets.astype(int) @ sets.T.astype(int)
+    over = np.where(both > 0, 1 / np.maximum(both, 1), 0.0)
+    right = np.equal.outer(kind, np.arange(len(sets)))[:, :, None] * ones[:, None, :]
+    left = over[kind][:, :, None] * ones[:, None, :]
+    return names, left.reshape(len(names), -1), right.reshape(len(names), -1)
+
+
 def core_groups(labels: DataFrame, k: int, least: int) -> DataFrame:
     """Groups of the names that are in any run, by linkage of their shares of common runs: one task a year.
 
-    A task holds the matrix over the names of its year; years with fewer than ``k * least`` names give no rows.
+    A task holds a row of labels for each name of its year, not the pairs of names. Years with fewer than ``k * least``
+    names give no rows.
     """
     kind = labels.schema["ticker"].dataType.simpleString()
 
     def link(part: pd.DataFrame) -> pd.DataFrame:
-        names = np.sort(part["a"].unique())  # each name has a row with itself
+        names, left, right = profiles(part)
         if len(names) < k * least:
             return pd.DataFrame({"fit_year": [], "ticker": [], "grp": []}, dtype=object)
-        share = np.zeros((len(names), len(names)))
-        i, j = np.searchsorted(names, part["a"]), np.searchsorted(names, part["b"])
-        share[i, j] = share[j, i] = part["together"] / part["both"]
-        out = pd.DataFrame({"fit_year": part["fit_year"].iloc[0], "ticker": names, "grp": models.linkage_groups(share, k, least)})
+        out = pd.DataFrame({"fit_year": part["fit_year"].iloc[0], "ticker": names, "grp": models.linkage_groups(left, right, k, least)})
         return out[out["grp"] >= 0]
 
-    return coassign(labels, ["fit_year"]).groupBy("fit_year").applyInPandas(link, f"fit_year int, ticker {kind}, grp int")
+    return labels.groupBy("fit_year").applyInPandas(link, f"fit_year int, ticker {kind}, grp int")
 
 
 def leftovers(returns: DataFrame, years: DataFrame, core: DataFrame, longest: int, min_days: int) -> DataFrame:

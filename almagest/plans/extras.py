@@ -258,10 +258,12 @@ def beta_capped(spark, folder):
     pool, quota = 30, 4  # as in the selection and the swaps below
 
     def swap(part: pd.DataFrame) -> pd.DataFrame:
-        by = part.set_index("ticker")
-        order, group, beta = by["rnk"].to_dict(), books.groups_of(part), {t: b for t, b in by["beta"].items() if b == b}
-        picks = models.beta_limited(books.select_banded(order, group, [], quota=quota), order, group, beta, limit=1.05, pool=pool, quota=quota)
-        return pd.DataFrame({"date": part["date"].iloc[0], "ticker": picks, "beta": [beta.get(t, 1.0) for t in picks]})
+        part = part.sort_values("rnk").reset_index(drop=True)
+        rank, group, beta = part["rnk"].to_numpy(), part["grp"].astype(object).to_numpy(), part["beta"].to_numpy(float)
+        book = books.select_banded(dict(zip(part.index, rank)), books.groups_of(part.assign(ticker=part.index)), [], quota=quota)
+        equal = lambda picks: np.full(len(picks), 1 / max(1, len(picks)))
+        picks = models.beta_limited(book, rank, group, beta, equal, limit=1.05, pool=pool, quota=quota)
+        return pd.DataFrame({"date": part["date"].iloc[0], "ticker": part["ticker"].to_numpy()[picks], "beta": np.nan_to_num(beta[picks], nan=1.0)})
 
     out = books.within_reach(ranked, pool, quota).groupBy("date").applyInPandas(swap, "date date, ticker long, beta double")
     return rounded(out, "beta")

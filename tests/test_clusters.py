@@ -48,7 +48,7 @@ def test_small_groups_are_folded_in():
         label = rng.integers(0, k, n)
         runs = np.where(rng.random((30, n)) < 0.3, rng.integers(0, k + 2, (30, n)), label)
         sim = (runs[:, :, None] == runs[:, None]).mean(axis=0)
-        got = models.linkage_groups(sim, k, least)
+        got = models.linkage_groups(sim, np.eye(n), k, least)
         assert (got >= 0).all()
         assert [frozenset(np.flatnonzero(got == g)) for g in range(got.max() + 1)] == plain_groups(sim, k, least)
 
@@ -57,9 +57,9 @@ def test_names_enough_always_get_groups():
     """In noise the finest cut may have no large group at all; then a coarser one counts."""
     for seed in range(8):
         runs = np.random.default_rng(seed).integers(0, 4, (6, 40))
-        got = models.linkage_groups((runs[:, :, None] == runs[:, None]).mean(axis=0), 4, 10)
+        got = models.linkage_groups((runs[:, :, None] == runs[:, None]).mean(axis=0), np.eye(40), 4, 10)
         assert got.min() == 0 and np.bincount(got).min() >= 10
-    assert (models.linkage_groups(np.eye(3), 2, 4) == -1).all()
+    assert (models.linkage_groups(np.eye(3), np.eye(3), 2, 4) == -1).all()
 
 
 def lines(weeks):
