@@ -70,31 +70,30 @@ def _match(left: pd.DataFrame, right: pd.DataFrame, low: int, high: int) -> pd.D
     keys, ids = key[order], right["i"].to_numpy(np.int64)[order]
     segments = fit_segments(keys)
     t = left["e"].map(code).to_numpy(np.int64) * span + left["d"].to_numpy(np.int64) - origin
-    far, none = np.iinfo(np.int64).max, np.iinfo(np.int64).max
-    n = len(keys)
-    after = lower_bound(keys, segments, t + max(low, 0))
-    ok = (after < n) & (keys[np.minimum(after, n - 1)] <= t + high)
-    gap, found = np.where(ok, keys[np.minimum(after, n - 1)] - t, far), np.where(ok, ids[np.minimum(after, n - 1)], none)
+    far, n = np.iinfo(np.int64).max, len(keys)
+    after = np.minimum(at := lower_bound(keys, segments, t + max(low, 0)), n - 1)
+    gap, place = np.where((at < n) & (keys[after] <= t + high), keys[after] - t, far), after
     if low < 0:
-        before = lower_bound(keys, segments, t + min(high, 0) + 1) - 1
-        ok = (before >= 0) & (keys[np.maximum(before, 0)] >= t + low)
-        gap2, found2 = np.where(ok, t - keys[np.maximum(before, 0)], far), np.where(ok, ids[np.maximum(before, 0)], none)
-        better = (gap2 < gap) | ((gap2 == gap) & (found2 < found))
-        gap, found = np.where(better, gap2, gap), np.where(better, found2, found)
+        before = np.maximum(at := lower_bound(keys, segments, t + min(high, 0) + 1) - 1, 0)
+        back = np.where((at >= 0) & (keys[before] >= t + low), t - keys[before], far)
+        better = (back < gap) | ((back == gap) & (ids[before] < ids[after]))
+        gap, place = np.where(better, back, gap), np.where(better, before, place)
     ok = gap < far
-    return pd.DataFrame({"__e": left["e"].to_numpy()[ok], "__d": left["d"].to_numpy()[ok], "__i": found[ok]})
+    place = place[ok]
+    return pd.DataFrame({"__e": left["e"].to_numpy()[ok], "__d": left["d"].to_numpy()[ok], "__i": ids[place], "__c": right["c"].to_numpy()[order][place]})
 
 
 def nearest(
     left: DataFrame, right: DataFrame, entity: str, left_day: str, right_day: str, right_id: str, low: int, high: int,
-    buckets: int | None = None, shard_days: int = SHARD_DAYS,
+    buckets: int | None = None, shard_days: int = SHARD_DAYS, carry: str | None = None,
 ) -> DataFrame:
     """Each row of ``left`` with the id of the row of ``right`` of its entity nearest in time.
 
     Days are day numbers or dates. Partners lie ``low`` to ``high`` days after the left day, both included (negative:
     before it); of equally near ones, and of several on one day, the smallest ``right_id`` counts. Rows without a
     partner, or with a null entity or day, are left out; all columns of ``left`` are kept and ``right_id`` is added
-    (a column of that name in ``left`` is replaced). Repeated left rows each get their partner.
+    (a column of that name in ``left`` is replaced), and so is ``carry``, a whole-numbered column of ``right`` without
+    nulls, if one is named. Repeated left rows each get their partner.
 
     Both sides are first reduced to one row per entity and day, before and after the shuffle, so no key is hot. Then
     entities are hashed to buckets and time is cut into shards; right rows are copied to each shard whose left rows
@@ -108,18 +107,19 @@ def nearest(
     bucket = F.pmod(F.xxhash64("e"), F.lit(buckets)).cast("int")
     probes = left.select(F.col(entity).alias("e"), number(left_day, left).cast("int").alias("d")).dropna().distinct()
     probes = probes.withColumns({"b": bucket, "s": F.floor(F.col("d") / F.lit(shard_days)).cast("int")})
-    base = right.select(F.col(entity).alias("e"), number(right_day, right).cast("int").alias("d"), F.col(right_id).cast("long").alias("i"))
-    base = base.dropna().groupBy("e", "d").agg(F.min("i").alias("i"))
+    base = right.select(F.col(entity).alias("e"), number(right_day, right).cast("int").alias("d"), F.col(right_id).cast("long").alias("i"), (F.col(carry) if carry else F.lit(0)).cast("long").alias("c"))
+    base = base.dropna().groupBy("e", "d").agg(F.min(F.struct("i", "c")).alias("r")).select("e", "d", "r.i", "r.c")
     shards = F.sequence(F.floor((F.col("d") - F.lit(high)) / F.lit(shard_days)).cast("int"), F.floor((F.col("d") - F.lit(low)) / F.lit(shard_days)).cast("int"))
     base = base.withColumns({"b": bucket, "s": F.explode(shards)})
 
     def shard(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({"__e": pd.Series(dtype=str), "__d": pd.Series(dtype="int32"), "__i": pd.Series(dtype="int64")})
+            return pd.DataFrame({"__e": pd.Series(dtype=str), "__d": pd.Series(dtype="int32"), "__i": pd.Series(dtype="int64"), "__c": pd.Series(dtype="int64")})
         return _match(a, b, low, high)
 
     kind = left.schema[entity].dataType.simpleString()
-    pairs = probes.groupBy("b", "s").cogroup(base.groupBy("b", "s")).applyInPandas(shard, f"__e {kind}, __d int, __i long")
-    joined = left.drop(right_id).withColumn("__day", number(left_day, left).cast("int"))
+    pairs = probes.groupBy("b", "s").cogroup(base.groupBy("b", "s")).applyInPandas(shard, f"__e {kind}, __d int, __i long, __c long")
+    joined = left.drop(right_id, *[carry] if carry else []).withColumn("__day", number(left_day, left).cast("int"))
     joined = joined.join(pairs, (F.col(entity) == F.col("__e")) & (F.col("__day") == F.col("__d")))
-    return joined.withColumn(right_id, F.col("__i")).drop("__e", "__d", "__i", "__day")
+    joined = joined.withColumn(right_id, F.col("__i"))
+    return (joined.withColumn(carry, F.col("__c")) if carry else joined).drop("__e", "__d", "__i", "__c", "__day")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from almagest.functions.instants import day_text, instant_text, new_york_midnight, with_instant
 from almagest.operators import asof, nearest, rolling, spikes
+from almagest.session import checkpoint
 from almagest.sources.tables import table
 
 # --- 1
@@ -123,19 +124,24 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 # --- 5
 
 
+def _published(spark: SparkSession, folder: str) -> DataFrame:
+    """Filings that denote a day, with the instant from which they were public. Their texts are parsed here only."""
+    filings = _filings(spark, folder, accepted=True).filter(F.col("filed").isNotNull() & F.col("form_type").isin(*QUARTERLY, *AMENDED))
+    public = F.coalesce(F.col("accepted_us"), new_york_midnight(F.col("filed") + 1))
+    return checkpoint(filings.select("ticker", F.col("form_type").isin(*AMENDED).alias("amends"), "period_end", "filed", "filing_id", public.alias("known_us")))
+
+
 def _known_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Per ticker, period and revision the smallest fund_id, its eps, and the instant from which it was known."""
-    filings = _filings(spark, folder, accepted=True)
+    filings = _published(spark, folder)
     funds = table(spark, folder, "fundamentals_actuals").select("ticker", "date", "revision", "fund_id", "eps")
     funds = funds.dropna(subset=["ticker", "date", "revision"]).groupBy("ticker", "date", "revision").agg(F.min(F.struct("fund_id", "eps")).alias("f"))
     funds = funds.select("ticker", "date", "revision", "f.fund_id", "f.eps")
-    public = F.coalesce(F.col("accepted_us"), new_york_midnight(F.col("filed") + 1))
-    filings = filings.filter(F.col("filed").isNotNull()).withColumn("public_us", public)
-    reports = filings.filter(F.col("form_type").isin(*QUARTERLY))
-    first = nearest.nearest(funds.filter("revision = 0"), reports, "ticker", "date", "filed", "filing_id", 6, 120)
-    first = first.join(reports.select("filing_id", F.col("public_us").alias("known_us")), "filing_id").select("ticker", "date", F.lit(0).alias("revision"), "known_us")
-    amended = filings.filter(F.col("form_type").isin(*AMENDED)).groupBy("ticker", F.col("period_end").alias("date"))
-    amended = amended.agg(F.min(F.struct("filed", "filing_id", "public_us")).alias("f")).select("ticker", "date", F.lit(1).alias("revision"), F.col("f.public_us").alias("known_us"))
+    periods = funds.filter("revision = 0").select("ticker", "date")
+    first = nearest.nearest(periods, filings.filter("not amends"), "ticker", "date", "filed", "filing_id", 6, 120, carry="known_us")
+    first = first.select("ticker", "date", F.lit(0).alias("revision"), "known_us")
+    amended = filings.filter("amends").groupBy("ticker", F.col("period_end").alias("date")).agg(F.min(F.struct("filed", "filing_id", "known_us")).alias("f"))
+    amended = amended.select("ticker", "date", F.lit(1).alias("revision"), "f.known_us")
     known = funds.join(first.unionByName(amended), ["ticker", "date", "revision"], "left")
     return known.withColumn("known_us", F.coalesce("known_us", new_york_midnight(F.unix_date("date") + 60)))
 
@@ -145,7 +151,7 @@ def p5_asof(spark: SparkSession, folder: str) -> DataFrame:
     intervals = asof.validity(_known_rows(spark, folder), "ticker", "known_us", [F.col("date"), F.col("revision"), -F.col("fund_id")], ["fund_id", "eps"])
     requests = table(spark, folder, "decide_requests").select("request_id", "ticker", "information_cutoff").dropna()
     events = with_instant(requests, "information_cutoff", out="cutoff_us", bare_hour=16).select("request_id", "ticker", "cutoff_us")
-    return asof.known_at(events, intervals, "ticker", "cutoff_us").select("request_id", "ticker", "cutoff_us", "fund_id", "eps")
+    return asof.known_at(events, checkpoint(intervals), "ticker", "cutoff_us").select("request_id", "ticker", "cutoff_us", "fund_id", "eps")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

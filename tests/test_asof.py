@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from almagest.operators.asof import known_at, validity
+from almagest.operators.asof import dyadic_nodes, known_at, validity
 
 DAY = 86_400_000_000
 
@@ -41,3 +41,26 @@ def test_nothing(spark):
     intervals = validity(none, "e", "at", [F.col("p")], ["k", "v"])
     assert known_at(events, intervals, "e", "t").count() == 0
     assert known_at(events.limit(0), intervals, "e", "t").count() == 0
+
+
+def test_nodes_cover_each_interval_once(spark):
+    """With all sizes in a row at most two nodes of each but the largest; without gaps, overlaps or needless nodes."""
+    rng = random.Random(1)
+    rows = [(a, a + rng.choice([1, 3, 40, 700, 9000, rng.randint(1, 30000)])) for a in (rng.randint(-20000, 20000) for _ in range(300))]
+    df = spark.createDataFrame(rows, "a long, b long")
+    for levels in ((3, 6), (3, 4, 5, 6, 7), (2,), (0, 5, 9)):
+        for a, b, nodes in df.select("a", "b", dyadic_nodes(F.col("a"), F.col("b"), levels)).collect():
+            spans = sorted(((n >> 6) << (n & 63), ((n >> 6) + 1) << (n & 63), n & 63) for n in nodes)
+            assert all(x[1] == y[0] for x, y in zip(spans, spans[1:])) and spans[0][0] <= a and spans[-1][1] >= b
+            assert a - spans[0][0] < 1 << levels[0] and spans[-1][1] - b < 1 << levels[0]
+            if levels == (3, 4, 5, 6, 7):
+                assert all(sum(s[2] == k for s in spans) <= 2 for k in levels[:-1])
+
+
+def test_levels_and_horizon_change_nothing(spark):
+    rows = [(k, f"e{k % 3}", k * k * DAY, k, float(k)) for k in range(60)]
+    events = spark.createDataFrame([(i, f"e{i % 5}", i * 40 * DAY) for i in range(400)], "id int, e string, t long")  # far beyond the last row
+    intervals = validity(spark.createDataFrame(rows, "k int, e string, at long, p int, v double"), "e", "at", [F.col("p")], ["k"])
+    want = {(i, max(k for k in range(60) if k % 3 == i % 5 and k * k <= i * 40)) for i in range(400) if i % 5 < 3 and any(k % 3 == i % 5 and k * k <= i * 40 for k in range(60))}
+    for levels in ((43, 46), (43, 44, 45, 46), (44,)):
+        assert {(r.id, r.k) for r in known_at(events, intervals, "e", "t", levels).collect()} == want
