@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from almagest.session import checkpoint
 
-#: Items in one packing task; fill from which a container is final; rounds at most (each packs what the last left).
-TASK_ITEMS, NEARLY_FULL, ROUNDS = 50_000, 0.99, 6
+#: Items in one packing task; fill from which a container is final; share of its items that a round must have placed
+#: for another to follow.
+TASK_ITEMS, NEARLY_FULL, LEAST_PLACED = 50_000, 0.99, 0.1
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -50,24 +51,24 @@ def pack(items: DataFrame, item_id: str, size: str, capacities: dict[int, int],
 
     Round by round: hash partitions of at most about ``task_items`` items are packed by best fit; containers nearly
     full are final; the items of the others go, with those of neighbouring partitions, into fewer partitions for
-    another round. Rounds end when what is left was packed in one task or no longer shrinks. No task ever holds more than its
-    share, and what a round leaves is written to the checkpoint folder.
+    another round. Rounds end when what is left was packed in one task, or when a round placed less than
+    ``LEAST_PLACED`` of its items for good; their number has no bound. No task ever holds more than its share. Sizes
+    are computed once and written to the checkpoint folder, and so is what a round leaves.
     """
     specs = F.array(*[F.struct(F.lit(k).cast("int").alias("spec_id"), F.lit(c).cast("long").alias("capacity")) for k, c in sorted(capacities.items())])
     amount = F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0))
-    rows = items.select(F.col(item_id).alias("item_id"), amount.alias("amount")).select("*", F.inline(specs))
+    # Ids may repeat or be null, so each row has a number of its own, which the checkpoint makes final.
+    sized = checkpoint(items.select(F.col(item_id).alias("item_id"), amount.alias("amount")).withColumn("row", F.monotonically_increasing_id()))
+    rows = sized.select("*", F.inline(specs))
     kind = rows.schema["item_id"].dataType.simpleString()
     whole = F.when(F.col("amount") > F.col("capacity"), F.floor(F.col("amount") / F.col("capacity")).cast("long")).otherwise(0)
     rows = rows.withColumn("whole", whole).withColumn("rest", F.col("amount") - F.col("whole") * F.col("capacity"))
-    parts = F.sequence(F.lit(1).cast("long"), F.col("whole"))
-    # Ids may repeat or be null, so each oversized row has a number of its own, which the checkpoint makes final.
-    large = checkpoint(rows.filter("whole > 0").withColumn("row", F.monotonically_increasing_id()))
-    full = large.select("spec_id", "row", "item_id", F.explode(parts).alias("part_no"), F.col("capacity").alias("size"))
-    full = full.withColumn("container_id", F.concat_ws("-", F.lit("full"), "row", "part_no"))
-    empty = rows.filter("amount = 0").select("spec_id", F.lit(None).cast("string").alias("container_id"), "item_id", F.lit(0).cast("long").alias("part_no"), F.lit(0).cast("long").alias("size"))
-    spread = F.xxhash64("item_id", "spec_id")
+    # Parts that are containers of their own, and items without size, in one pass; both come from the numbered rows.
+    parts = F.transform(F.sequence(F.lit(1).cast("long"), F.col("whole")), lambda k: F.struct(F.concat_ws("-", F.lit("full"), "row", k).alias("container_id"), k.alias("part_no"), F.col("capacity").alias("size")))
+    nothing = F.array(F.struct(F.lit(None).cast("string").alias("container_id"), F.lit(0).cast("long").alias("part_no"), F.lit(0).cast("long").alias("size")))
+    placed = rows.filter((F.col("whole") > 0) | (F.col("amount") == 0)).select("spec_id", "item_id", F.inline(F.when(F.col("whole") > 0, parts).otherwise(nothing)))
+    spread = F.xxhash64("item_id", "row", "spec_id")
     todo = rows.filter("rest > 0").select("spec_id", "capacity", "item_id", F.when(F.col("whole") > 0, F.col("whole") + 1).otherwise(0).alias("part_no"), F.col("rest").alias("size"), spread.alias("spread"))
-    todo = checkpoint(todo)
     schema = f"spec_id int, capacity long, item_id {kind}, part_no long, size long, spread long, part int, container long, final boolean"
 
     def local(group: pd.DataFrame) -> pd.DataFrame:
@@ -79,23 +80,23 @@ def pack(items: DataFrame, item_id: str, size: str, capacities: dict[int, int],
 
     done: list[DataFrame] = []
     left = {r["spec_id"]: r["n"] for r in todo.groupBy("spec_id").agg(F.count("*").alias("n")).collect()}
-    for turn in range(ROUNDS):
+    turn = 0
+    while left:
         tasks = {k: -(-n // task_items) for k, n in left.items()}
-        if not tasks:
-            break
         count = F.try_element_at(F.create_map(*[F.lit(x) for kv in tasks.items() for x in kv]), F.col("spec_id"))
         # The task is a prefix of the hash, so fewer tasks merge neighbours. The shift keeps the product in range.
         part = F.shiftright(F.shiftrightunsigned("spread", 32) * count, 32).cast("int")
         packed = checkpoint(todo.drop("part").withColumn("part", part).groupBy("spec_id", "part").applyInPandas(local, schema))
         now = {r["spec_id"]: r["n"] for r in packed.filter("not final").groupBy("spec_id").agg(F.count("*").alias("n")).collect()}
-        again = [k for k, n in now.items() if tasks[k] > 1 and n < 0.9 * left[k] and turn + 1 < ROUNDS]
+        again = [k for k, n in now.items() if tasks[k] > 1 and n < (1 - LEAST_PLACED) * left[k]]
         on = F.col("final") | ~F.col("spec_id").isin(again) if again else F.lit(True)
         number = F.concat_ws("-", F.lit(f"r{turn}"), "part", "container")
         done.append(packed.filter(on).select("spec_id", number.alias("container_id"), "item_id", "part_no", "size"))
         left = {k: now[k] for k in again}
         todo = packed.filter(~on).drop("container", "final", "part") if again else todo
+        turn += 1
     columns = ["spec_id", "container_id", "item_id", "part_no", "size"]
-    return reduce(DataFrame.unionByName, [*done, full.select(columns), empty.select(columns)])
+    return reduce(DataFrame.unionByName, [*done, placed.select(columns)])
 
 
 def fill_report(packed: DataFrame, capacities: dict[int, int]) -> DataFrame:

@@ -53,3 +53,36 @@ def test_pack(spark, task_items):
 
 def test_pack_nothing(spark):
     assert pack(spark.createDataFrame([], "doc_id long, n long"), "doc_id", "n", {1: 128}).count() == 0
+
+
+def test_rounds_have_no_number(spark, monkeypatch):
+    """Small tasks take many rounds, and each leaves less room than the one before."""
+    from almagest.llm import packing
+
+    df = spark.range(3000).selectExpr("id as doc_id", "1 + pmod(xxhash64(id), 90) as n")
+    turns, fills = [], []
+    real = packing.checkpoint
+    monkeypatch.setattr(packing, "checkpoint", lambda d: turns.append(1) or real(d))
+    for least in (1.0, 0.0):  # one round, and as many as place anything
+        monkeypatch.setattr(packing, "LEAST_PLACED", least)
+        turns.clear()
+        got = pack(df, "doc_id", "n", {1: 128}, task_items=12)
+        assert got.count() == 3000
+        fills.append(fill_report(got, {1: 128}).collect()[0].fill)
+    assert len(turns) > 7 and fills[1] > fills[0] + 0.02
+
+
+def test_texts_are_sized_once(spark):
+    """The size is computed once a row, whatever comes of the row."""
+    from pyspark.sql import functions as F
+
+    count = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def size(n):
+        count.add(1)
+        return n
+
+    df = spark.createDataFrame([(i, n) for i, n in enumerate([None, 0, 5, 127, 128, 129, 300, 5000] * 5)], "doc_id long, n long")
+    pack(df.select("doc_id", size("n").alias("tokens")), "doc_id", "tokens", {1: 128, 2: 512}).collect()
+    assert count.value == 40
