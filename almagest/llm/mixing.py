@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +28,11 @@ def source_name(source: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(source)), r"[\s_\-]+", "_")
 
 
+def plain_name(source: str) -> str:
+    """The same of one name."""
+    return re.sub(r"[\s_\-]+", "_", source.strip(" ").lower())
+
+
 def uniform(key: Column, seed: int) -> Column:
     """A number in [0, 1) that depends on the key and the seed only."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 11) / F.lit(float(1 << 53))
@@ -91,8 +97,15 @@ def mix(
 
     The report has one row per target: documents and tokens there are, ``target_share``, documents used, copies, tokens
     and ``actual_share`` reached. A target without documents reaches 0; the others keep their proportions. Documents without a target, with
-    null source or without tokens are not used. Names of sources are compared without case and spacing.
+    null source or without tokens are not used. Names of sources and of targets are compared without case and spacing;
+    the report has the names of the documents. Targets that are the same name are an error; one without a name counts
+    for nothing.
     """
+    named = [(plain_name(s), t) for s, t in targets.items() if s is not None]
+    plain = dict(named)
+    if len(plain) < len(named):
+        raise ValueError("targets that differ in case or spacing only")
+    targets = plain
     named = docs.select(F.col(doc_id).alias("doc_id"), source_name(F.col(source)).alias("source"), F.col(tokens).cast("long").alias("tokens"))
     named = checkpoint(named.filter((F.col("tokens") > 0) & F.col("source").isin(*targets)).withColumn("u", uniform(F.col("doc_id"), seed)))
     have = {r["source"]: r for r in named.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")).collect()}

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from almagest.llm.mixing import Target, mix, thresholds
 
@@ -33,3 +34,11 @@ def test_mix(spark):
 def test_mix_nothing(spark):
     mixture, report = mix(spark.createDataFrame([], "doc_id long, source string, tokens long"), "doc_id", "source", "tokens", {"a": Target(1.0, 1)})
     assert mixture.count() == 0 and report.collect()[0].tokens == 0
+
+
+def test_names_of_targets_are_compared_like_those_of_documents(spark):
+    df = spark.createDataFrame([(i, ["news wire", "NEWS-WIRE ", "chat"][i % 3], 10) for i in range(300)], "doc_id long, source string, tokens long")
+    report = mix(df, "doc_id", "source", "tokens", {"News Wire": Target(0.5, 1), "Chat": Target(0.5, 2), None: Target(0.1, 1)})[1].collect()
+    assert {r.source: round(r.actual_share, 1) for r in report} == {"news_wire": 0.5, "chat": 0.5}
+    with pytest.raises(ValueError):
+        mix(df, "doc_id", "source", "tokens", {"News Wire": Target(0.5, 1), "news_wire": Target(0.5, 2)})
