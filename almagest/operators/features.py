@@ -65,6 +65,7 @@ def features(panel: DataFrame) -> DataFrame:
             "rv21": F.stddev_samp("ret").over(frame(20)) * F.sqrt(F.lit(float(YEAR))),
             "amihud": F.avg(illiquid).over(frame(20)) * 1e6,
             "momentum": F.when(F.col("day_idx") >= YEAR, lagged("close", MONTH) / lagged("close", YEAR) - 1),
+            "year_return": F.col("close") / lagged("close", YEAR) - 1,
             **{f"b_{k}": F.coalesce(F.sum(c).over(upto), F.lit(0.0)) for k, c in sums.items()},
         }
     )
@@ -74,6 +75,13 @@ def features(panel: DataFrame) -> DataFrame:
     return panel.withColumn("beta", F.when(F.col("y_n") >= YEAR // 2, 0.67 * beta + 0.33)).drop(*[f"{t}_{k}" for t in "by" for k in sums], "mkt_n", "mkt_sum", "mkt_sq")
 
 
+def marked_liquid(features: DataFrame, min_adv: float, min_price: float, amihud_keep: float = 0.9) -> DataFrame:
+    """``features`` with ``liquid``: enough dollar volume and price, known momentum, not the most illiquid of those."""
+    ok = (F.col("adv20") >= min_adv) & (F.col("close") > min_price) & F.col("momentum").isNotNull() & F.col("amihud").isNotNull()
+    limit = F.percentile(F.when(ok, F.col("amihud")), F.lit(amihud_keep)).over(Window.partitionBy("date"))
+    return features.withColumn("liquid", F.coalesce(ok & (F.col("amihud") <= limit), F.lit(False)))
+
+
 def liquid(features: DataFrame, min_adv: float, min_price: float, amihud_keep: float = 0.9) -> DataFrame:
     """Liquid names of each date: enough dollar volume and price, known momentum, and not the most illiquid of those."""
     ok = (F.col("adv20") >= min_adv) & (F.col("close") > min_price) & F.col("momentum").isNotNull() & F.col("amihud").isNotNull()

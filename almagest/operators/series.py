@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def days(name: str = "name") -> Window:
@@ -39,12 +43,24 @@ def conditions(levels: DataFrame, average: int = 200, vol: int = 21, history: in
 def expanding_share(df: DataFrame, value: str, out: str, least: int) -> DataFrame:
     """Share of a name's values up to now that are at or below the present one; null before ``least`` values.
 
-    A sorted array grows with the days of a market calendar; the share is a count in it.
+    One ordered pass per name (a name has a row per day), which finds each value's place among those before by
+    bisection. Null and NaN values get null and don't count.
     """
-    w = days().rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.collect_list(value).over(w)
-    share = F.size(F.filter("__seen", lambda x: x <= F.col(value))) / F.size("__seen")
-    return df.withColumn("__seen", seen).withColumn(out, F.when(F.col(value).isNotNull() & (F.size("__seen") >= least), share)).drop("__seen")
+    schema = StructType([*[f for f in df.schema.fields if f.name != out], StructField(out, DoubleType())])
+
+    def scan(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("date")
+        seen: list[float] = []
+        shares: list[float | None] = []
+        for v in part[value].tolist():
+            if v is None or v != v:
+                shares.append(None)
+                continue
+            insort(seen, v)
+            shares.append(bisect_right(seen, v) / len(seen) if len(seen) >= least else None)
+        return part.assign(**{out: pd.Series(shares, index=part.index, dtype=object)})[schema.names]
+
+    return df.groupBy("name").applyInPandas(scan, schema)
 
 
 def last_of_week(df: DataFrame) -> DataFrame:
@@ -67,12 +83,12 @@ def held_on(weekly: DataFrame, raw: str, out: str, off_after: int = 2) -> DataFr
     return weekly.withColumn(out, F.max(raw).over(days().rowsBetween(1 - off_after, 0)))
 
 
-def dead_band(weekly: DataFrame, p: str, out: str, on: float, off: float, off_after: int = 2) -> DataFrame:
-    """On when ``p`` reaches ``on``, off after ``off_after`` values in a row below ``off``, else as it was."""
+def dead_band(weekly: DataFrame, p: str, out: str, on: float, off: float, off_after: int = 2, also: Column | None = None) -> DataFrame:
+    """On when ``p`` reaches ``on`` (and ``also`` holds), off after ``off_after`` values in a row below ``off``, else as it was."""
     w = days()
     upto, last = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1 - off_after, 0)
     df = weekly.withColumn("__i", F.row_number().over(w)).withColumn("__calm", F.count_if(F.col(p) < off).over(last) == off_after)
-    on_at = F.max(F.when(F.col(p) >= on, F.col("__i"))).over(upto)
+    on_at = F.max(F.when((F.col(p) >= on) & (F.lit(True) if also is None else also), F.col("__i"))).over(upto)
     off_at = F.max(F.when(F.col("__calm"), F.col("__i"))).over(upto)
     return df.withColumn(out, F.coalesce(on_at, F.lit(-1)) > F.coalesce(off_at, F.lit(-1))).drop("__i", "__calm")
 

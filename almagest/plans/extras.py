@@ -162,14 +162,13 @@ FIELDS = ("momentum", "low_risk", "low_beta", "size")
 @register(
     f"""with {FORWARD}, f as (select l.ticker, l.date, low_risk, low_beta, size, i.momentum, fwd from liq l join ic i using (ticker, date)),
 u as (unpivot f on {', '.join(FIELDS)} into name factor value v),
-rk as (select date, factor, rank() over (partition by date, factor order by v) as a, rank() over (partition by date, factor order by fwd) as b from u where v is not null),
+rk as (select date, factor, {panel.average_rank_sql("v", "date, factor")} as a, {panel.average_rank_sql("fwd", "date, factor")} as b from u where v is not null),
 d as (select date, factor, corr(a, b) as ic from rk group by 1, 2 having count(*) >= 20)
 select factor, count(ic) as dates, round(avg(ic), 6) as ic, round(avg((ic > 1e-9)::int), 6) as hit from d group by 1"""
 )
 def factor_ic(spark, folder):
     u = panel._forward(spark, folder).unpivot(["ticker", "date", "fwd"], list(FIELDS), "factor", "v").filter("v is not null")
-    d = Window.partitionBy("date", "factor")
-    rk = u.select("date", "factor", F.rank().over(d.orderBy("v")).alias("a"), F.rank().over(d.orderBy("fwd")).alias("b"))
+    rk = u.select("date", "factor", panel.average_rank("v", "date", "factor").alias("a"), panel.average_rank("fwd", "date", "factor").alias("b"))
     ic = rk.groupBy("date", "factor").agg(F.count("*").alias("n"), F.corr("a", "b").alias("ic")).filter("n >= 20")
     return ic.groupBy("factor").agg(F.count("ic").alias("dates"), F.round(F.avg("ic"), 6).alias("ic"), F.round(F.avg((F.col("ic") > 1e-9).cast("double")), 6).alias("hit"))
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from almagest.operators import features as fx
 from almagest.operators import series as sr
+from almagest.session import checkpoint
 from almagest.sources.tables import table
 
 MIN_ADV, MIN_PRICE = 40000.0, 1000.0
@@ -99,12 +100,35 @@ def _scored(spark: SparkSession, folder: str) -> DataFrame:
     return fx.composite(_liquid(spark, folder), FACTORS, "grp")
 
 
+def _kept_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of the liquid names with what books and costs need, written once for plans that use them several times."""
+    columns = ["ticker", "date", "day_idx", "grp", "score", "close", "beta", "adv20", "amihud"]
+    return checkpoint(_scored(spark, folder).select(*columns, *[f"z_{f}" for f in FACTORS]))
+
+
+def book_of(scored: DataFrame) -> DataFrame:
+    return fx.unheld_book(scored.withColumn("score", F.round("score", 9)), "grp").withColumnRenamed("rank", "rnk")
+
+
+def weighted_of(scored: DataFrame) -> DataFrame:
+    return fx.capped_weights(book_of(scored), F.col("ticker") % 4 == 0)
+
+
 def _book(spark: SparkSession, folder: str) -> DataFrame:
-    return fx.unheld_book(_scored(spark, folder).withColumn("score", F.round("score", 9)), "grp").withColumnRenamed("rank", "rnk")
+    return book_of(_scored(spark, folder))
 
 
 def _weighted(spark: SparkSession, folder: str) -> DataFrame:
-    return fx.capped_weights(_book(spark, folder), F.col("ticker") % 4 == 0)
+    return weighted_of(_scored(spark, folder))
+
+
+def average_rank(value: str, *by: str) -> Column:
+    """Rank of a value among the rows of ``by``; equal ones share the average of their ranks."""
+    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2.0
+
+
+def average_rank_sql(value: str, by: str) -> str:
+    return f"rank() over (partition by {by} order by {value}) + (count(*) over (partition by {by}, {value}) - 1) / 2.0::double"
 
 
 @register(f"with {BARS} select ticker, date, day_idx, round(close + 1e-9, 6) as close, volume from bars")
@@ -156,9 +180,15 @@ def liquidity_funnel(spark, folder):
 
 @register(f"with {FEAT}, l as (select ticker, adv20, close from feat where date = (select max(date) from feat) and adv20 >= {MIN_ADV}) select ticker, round(adv20 / 1e6, 6) as adv20_m, round(close + 1e-9, 6) as close from l order by round(adv20 / 1e6, 6) desc, ticker limit 20")
 def screen_topn(spark, folder):
-    feat = _features(spark, folder)
-    newest = table(spark, folder, "lineitem").agg(F.date_trunc("week", F.max("l_shipdate")).cast("date").alias("date"))
-    last = feat.join(F.broadcast(newest), "date", "left_semi")  # one row
+    """The 20 names of the last week with the largest dollar volume over 20 weeks; other weeks aren't read into bars."""
+    lines = table(spark, folder, "lineitem")
+    week = F.date_trunc("week", "l_shipdate").cast("date")
+    weeks = lines.select(week.alias("date")).distinct().orderBy(F.desc("date")).limit(20)
+    span = weeks.agg(F.min("date").alias("first"), F.max("date").alias("newest"))  # one row
+    near = lines.join(F.broadcast(span), week >= F.col("first"))
+    bars = near.groupBy(F.col("l_suppkey").alias("ticker"), week.alias("date"), "newest").agg((F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double") / F.sum("l_quantity")).alias("close"), F.sum("l_quantity").alias("volume"))
+    at = F.col("date") == F.col("newest")
+    last = bars.groupBy("ticker").agg(F.avg(F.col("close") * F.col("volume")).alias("adv20"), F.max(F.when(at, F.col("close"))).alias("close")).filter("close is not null")
     out = last.filter(F.col("adv20") >= MIN_ADV).select("ticker", F.round(F.col("adv20") / 1e6, 6).alias("adv20_m"), F.round(F.col("close") + 1e-9, 6).alias("close"))
     return out.orderBy(F.desc("adv20_m"), "ticker").limit(20)
 
@@ -220,27 +250,47 @@ def exposure(spark, folder):
     return rounded(_weighted(spark, folder).groupBy("date", "grp").agg(F.count("*").alias("names"), F.sum("weight").alias("w")), "w")
 
 
-@register(
-    f"""with {FEAT}, t as (select ticker, date, adv20, quantile_cont(adv20, 1/3::double) over (partition by date) as lo, quantile_cont(adv20, 2/3::double) over (partition by date) as hi from feat)
-select ticker, date, case when adv20 >= hi then 5.0::double when adv20 >= lo then 10.0::double else 20.0::double end as half_spread_bps from t"""
-)
+#: Half spreads in basis points of the upper, middle and lower third of liquid names by adv20; all others pay the last.
+TIERS = (5.0, 10.0, 20.0)
+TIER_SQL = f"case when adv20 >= quantile_cont(adv20, 2/3::double) over (partition by date) then {TIERS[0]}::double when adv20 >= quantile_cont(adv20, 1/3::double) over (partition by date) then {TIERS[1]}::double else {TIERS[2]}::double end"
+
+
+def tier() -> Column:
+    """Half spread of a row of liquid names, by the third its adv20 is in on its date."""
+    third = F.percentile("adv20", F.array(F.lit(1 / 3), F.lit(2 / 3))).over(Window.partitionBy("date"))
+    return F.when(F.col("adv20") >= third[1], TIERS[0]).when(F.col("adv20") >= third[0], TIERS[1]).otherwise(TIERS[2])
+
+
+@register(f"with {LIQ}, t as (select ticker, date, {TIER_SQL} as bps from liq) select f.ticker, f.date, coalesce(t.bps, {TIERS[2]}::double) as half_spread_bps from feat f left join t on t.ticker = f.ticker and t.date = f.date")
 def half_spread(spark, folder):
-    d = Window.partitionBy("date")
-    feat = _features(spark, folder).withColumns({"lo": F.percentile("adv20", F.lit(1 / 3)).over(d), "hi": F.percentile("adv20", F.lit(2 / 3)).over(d)})
-    bps = F.when(F.col("adv20") >= F.col("hi"), 5.0).when(F.col("adv20") >= F.col("lo"), 10.0).otherwise(20.0)
+    # One pass: the thirds are taken over the rows of the date that are liquid.
+    feat = fx.marked_liquid(_features(spark, folder), MIN_ADV, MIN_PRICE)
+    third = F.percentile(F.when(F.col("liquid"), F.col("adv20")), F.array(F.lit(1 / 3), F.lit(2 / 3))).over(Window.partitionBy("date"))
+    bps = F.when(F.col("liquid") & (F.col("adv20") >= third[1]), TIERS[0]).when(F.col("liquid") & (F.col("adv20") >= third[0]), TIERS[1]).otherwise(TIERS[2])
     return feat.select("ticker", "date", bps.alias("half_spread_bps"))
 
 
 FORWARD = LIQ + """,
 fwd as (select ticker, date, close_b / close_a - 1 as fwd from (select ticker, date, max(close) over (partition by ticker order by day_idx range between 1 following and 1 following) as close_a, max(close) over (partition by ticker order by day_idx range between 5 following and 5 following) as close_b from bars)),
-ic as (select l.ticker, l.date, momentum, fwd from liq l join fwd f on f.ticker = l.ticker and f.date = l.date where fwd is not null)"""
+ic as (select l.ticker, l.date, momentum, fwd from liq l join fwd f on f.ticker = l.ticker and f.date = l.date where fwd is not null),
+al as (select l.ticker, l.date, momentum, -rv21 as low_risk, -beta as low_beta, ln(adv20) as size, fwd from feat l join fwd f on f.ticker = l.ticker and f.date = l.date where fwd is not null)"""
 
 
-def _forward(spark, folder):
+def _returns_ahead(spark, folder):
+    """Return from the next bar to the fifth after it."""
     w = Window.partitionBy("ticker").orderBy("day_idx")
     lead = lambda k: F.max("close").over(w.rangeBetween(k, k))
-    fwd = _bars(spark, folder).select("ticker", "date", (lead(5) / lead(1) - 1).alias("fwd"))
-    return _liquid(spark, folder).join(fwd, ["ticker", "date"]).filter("fwd is not null")
+    return _bars(spark, folder).select("ticker", "date", (lead(5) / lead(1) - 1).alias("fwd")).filter("fwd is not null")
+
+
+def _forward(spark, folder):
+    return _liquid(spark, folder).join(_returns_ahead(spark, folder), ["ticker", "date"])
+
+
+def _forward_all(spark, folder):
+    """Factors and returns ahead of all names, liquid or not."""
+    feat = _features(spark, folder).select("ticker", "date", "momentum", (-F.col("rv21")).alias("low_risk"), (-F.col("beta")).alias("low_beta"), F.log("adv20").alias("size"))
+    return feat.join(_returns_ahead(spark, folder), ["ticker", "date"])
 
 
 @register(f"with {FORWARD} select ticker, date, round(fwd, 6) as fwd from ic")
@@ -253,33 +303,38 @@ def forward_returns(spark, folder):
 select date, count(*) as names, round(case when count(*) >= 2 then corr(a, b) end, 6) as ic from rk group by date having count(*) >= 20"""
 )
 def rank_ic(spark, folder):
-    def ranks(c):
-        return F.rank().over(Window.partitionBy("date").orderBy(c)) + (F.count("*").over(Window.partitionBy("date", c)) - 1) / 2.0
-
-    df = _forward(spark, folder).select("date", ranks("momentum").alias("a"), ranks("fwd").alias("b"))
+    df = _forward(spark, folder).select("date", average_rank("momentum", "date").alias("a"), average_rank("fwd", "date").alias("b"))
     return df.groupBy("date").agg(F.count("*").alias("names"), F.round(F.corr("a", "b"), 6).alias("ic")).filter("names >= 20")
 
 
 @register(
-    f"""with {FORWARD}, n as (select *, row_number() over (partition by date order by momentum, ticker) as rn, count(*) over (partition by date) as n from ic),
-q as (select date, fwd, case when n = 1 then 1 else greatest(1, ceil(5.0::double * (rn - 1) / (n - 1) - 1e-9))::int end as bucket from n where n >= 20)
+    f"""with {FORWARD}, n as (select *, row_number() over (partition by date order by size, ticker) as rn, count(*) over (partition by date) as n, count(distinct size) over (partition by date) as kinds from al where size is not null),
+q as (select date, fwd, greatest(1, ceil(5.0::double * (rn - 1) / (n - 1) - 1e-9))::int as bucket from n where n >= 50 and kinds >= 5)
 select date, bucket, count(*) as names, round(avg(fwd), 6) as fwd from q group by 1, 2"""
 )
 def quintiles(spark, folder):
+    """Mean forward return of five buckets of all names by dollar volume, on dates with 50 names and five different values at least."""
     d = Window.partitionBy("date")
-    df = _forward(spark, folder).withColumns({"rn": F.row_number().over(d.orderBy("momentum", "ticker")), "n": F.count("*").over(d)}).filter("n >= 20")
+    ranked = d.orderBy("size", "ticker")
+    df = _forward_all(spark, folder).filter("size is not null").withColumns({"rn": F.row_number().over(ranked), "kind": F.dense_rank().over(d.orderBy("size")), "n": F.count("*").over(d)})
+    df = df.filter("n >= 50").withColumn("kinds", F.max("kind").over(d)).filter("kinds >= 5")
     bucket = F.greatest(F.lit(1), F.ceil(5.0 * (F.col("rn") - 1) / (F.col("n") - 1) - 1e-9).cast("int"))
     return df.groupBy("date", bucket.alias("bucket")).agg(F.count("*").alias("names"), F.round(F.avg("fwd"), 6).alias("fwd"))
 
 
+YEAR_SQL = "pl as (select ticker, date, close / max(close) over (partition by ticker order by day_idx range between 252 preceding and 252 preceding) - 1 as plain from bars)"
+
+
 @register(
-    f"""with {SCORED}, a as (select date, ticker, row_number() over (partition by date order by round(score, 9) desc, ticker) as x, row_number() over (partition by date order by momentum desc, ticker) as y from sc)
-select date, count_if(x <= 15) as ours, count_if(x <= 15 and y <= 20) as overlap from a group by 1"""
+    f"""with {SCORED}, {YEAR_SQL}, a as (select sc.date, sc.ticker, row_number() over (partition by sc.date order by round(score, 9) desc, sc.ticker) as x, row_number() over (partition by sc.date order by plain desc, sc.ticker) as y from sc join pl on pl.ticker = sc.ticker and pl.date = sc.date)
+select date, count_if(x <= 15) as ours, count_if(x <= 15 and y <= 20) as overlap, min(case when x > 15 and y <= 20 then x end) as best_swap from a group by 1"""
 )
 def overlap_naive(spark, folder):
+    """Names in both our best 15 and the best 20 by plain twelve-month return, and our rank of the best of the others."""
     d = Window.partitionBy("date")
-    df = _scored(spark, folder).select("date", F.row_number().over(d.orderBy(F.desc(F.round("score", 9)), "ticker")).alias("x"), F.row_number().over(d.orderBy(F.desc("momentum"), "ticker")).alias("y"))
-    return df.groupBy("date").agg(F.count_if(F.expr("x <= 15")).alias("ours"), F.count_if(F.expr("x <= 15 and y <= 20")).alias("overlap"))
+    df = _scored(spark, folder).select("date", F.row_number().over(d.orderBy(F.desc(F.round("score", 9)), "ticker")).alias("x"), F.row_number().over(d.orderBy(F.desc("year_return"), "ticker")).alias("y"))
+    swap = F.min(F.when(F.expr("x > 15 and y <= 20"), F.col("x"))).cast("long")
+    return df.groupBy("date").agg(F.count_if(F.expr("x <= 15")).alias("ours"), F.count_if(F.expr("x <= 15 and y <= 20")).alias("overlap"), swap.alias("best_swap"))
 
 
 # --- daily index

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -142,12 +144,35 @@ def sector_groups(spark, folder):
     return table(spark, folder, "reference_tickers").select("ticker", reports.sector(F.col("sic_code")).alias("sector"), F.upper(F.trim("primary_exchange")).alias("exchange"))
 
 
-@register("select column_name, round(share, 6) as null_share from (select 'close' as column_name, avg((close is null or isnan(close))::int) as share from stocks_daily union all select 'volume', avg((volume is null)::int) from stocks_daily union all select 'open', avg((open is null or isnan(open))::int) from stocks_daily)")
+PROFILED = {"stocks_daily": ("open", "close", "volume", "loaded_at"), "corporate_actions": ("ex_date", "kind", "value", "raw"), "fundamentals_actuals": ("revenue", "eps", "net_income", "loaded_at"), "report_calendar_us": ("filing_date", "acceptance_datetime", "period_end"), "reference_tickers": ("name", "sic_code", "primary_exchange", "market_cap")}
+NUMBERS = ("open", "close", "volume", "value", "revenue", "eps", "net_income", "market_cap")
+_GONE_SQL = lambda t, c: f"select '{t}' as table_name, '{c}' as column_name, count(*) as n, round(avg(({c} is null{f' or isnan({c})' if c in NUMBERS else ''})::int), 6) as null_share from {t}"
+
+
+@register(" union all ".join(_GONE_SQL(t, c) for t, cs in PROFILED.items() for c in cs))
 def null_profile(spark, folder):
-    bars = table(spark, folder, "stocks_daily")
-    gone = {"close": F.col("close").isNull() | F.isnan("close"), "volume": F.col("volume").isNull(), "open": F.col("open").isNull() | F.isnan("open")}
-    wide = bars.agg(*[F.round(F.avg(c.cast("double")), 6).alias(n) for n, c in gone.items()])
-    return wide.select(F.expr("stack(3, 'close', close, 'volume', volume, 'open', open) as (column_name, null_share)"))
+    """Share of missing values of the columns of each table: one pass a table."""
+    out = []
+    for t, cs in PROFILED.items():
+        gone = {c: F.col(c).isNull() | F.isnan(c) if c in NUMBERS else F.col(c).isNull() for c in cs}
+        wide = table(spark, folder, t).agg(F.count("*").alias("n"), *[F.round(F.avg(g.cast("double")), 6).alias(c) for c, g in gone.items()])
+        out.append(wide.select(F.lit(t).alias("table_name"), F.col("n"), F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("null_share")) for c in cs]))))
+    return reduce(DataFrame.unionByName, out).select("table_name", "column_name", "n", "null_share")
+
+
+DESCRIBED = [("stocks_daily", c) for c in ("open", "close", "volume")] + [("corporate_actions", "value"), ("fundamentals_actuals", "eps")]
+
+
+@register(" union all ".join(f"select '{t}' as table_name, '{c}' as column_name, count(*) as n, round(min({c}), 6) as low, round(quantile_cont({c}, 0.25), 6) as p25, round(quantile_cont({c}, 0.5), 6) as p50, round(quantile_cont({c}, 0.75), 6) as p75, round(max({c}), 6) as high from {t} where isfinite({c})" for t, c in DESCRIBED))
+def describe(spark, folder):
+    """Range and quartiles of the finite values of number columns."""
+    parts = []
+    for t, c in DESCRIBED:
+        x = table(spark, folder, t).select(rolling.finite(F.col(c)).alias("x")).filter("x is not null")
+        q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        d = x.agg(F.count("*").alias("n"), F.min("x").alias("low"), q.alias("q"), F.max("x").alias("high"))
+        parts.append(d.select(F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), "n", F.round("low", 6).alias("low"), *[F.round(F.col("q")[k], 6).alias(f"p{p}") for k, p in enumerate((25, 50, 75))], F.round("high", 6).alias("high")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 # --- books over time
@@ -168,35 +193,34 @@ def no_trade(spark, folder):
 
 
 @register(
-    f"""with {BAND}, tier as (select ticker, date, amihud, case when adv20 >= quantile_cont(adv20, 2/3::double) over (partition by date) then 5.0::double when adv20 >= quantile_cont(adv20, 1/3::double) over (partition by date) then 10.0::double else 20.0::double end as bps, max(amihud) over (partition by date) as worst from liq),
+    f"""with {BAND}, tier as (select ticker, date, amihud, {panel.TIER_SQL} as bps from liq),
 wd as (select date, max(amihud) as worst from liq group by 1),
 x as (select nt.date, held - prev as dw, coalesce(bps, 20.0::double) as bps, coalesce(amihud, wd.worst) as amihud from nt join wd using (date) left join tier on tier.date = nt.date and tier.ticker = nt.ticker where held > 0 or prev > 0)
 select date, round(sum(abs(dw)) , 6) as turnover, round(sum(abs(dw) * bps / 1e4 + amihud * 1e6 / 1e6 * dw * dw) / 1e3, 6) as cost_k from x group by 1"""
 )
 def trade_cost(spark, folder):
-    liq = panel._liquid(spark, folder)
-    d = Window.partitionBy("date")
-    tier = F.when(F.col("adv20") >= F.percentile("adv20", F.lit(2 / 3)).over(d), 5.0).when(F.col("adv20") >= F.percentile("adv20", F.lit(1 / 3)).over(d), 10.0).otherwise(20.0)
-    tiers = liq.select("ticker", "date", "amihud", tier.alias("bps"))
-    worst = liq.groupBy("date").agg(F.max("amihud").alias("worst"))
-    held = books.no_trade(panel._weighted(spark, folder).select("date", "ticker", "weight"))
-    x = held.join(worst, "date").join(tiers, ["date", "ticker"], "left").withColumn("dw", F.col("held") - F.col("prev"))
-    paid = books.cost(F.col("dw"), F.coalesce("bps", F.lit(20.0)), F.coalesce("amihud", "worst"), 1e6)
+    scored = panel._kept_scores(spark, folder)
+    tiers = scored.select("ticker", "date", "amihud", panel.tier().alias("bps"))
+    worst = scored.groupBy("date").agg(F.max("amihud").alias("worst"))
+    held = books.no_trade(panel.weighted_of(scored).select("date", "ticker", "weight"))
+    x = held.join(F.broadcast(worst), "date").join(tiers, ["date", "ticker"], "left").withColumn("dw", F.col("held") - F.col("prev"))  # a row per date
+    paid = books.cost(F.col("dw"), F.coalesce("bps", F.lit(panel.TIERS[2])), F.coalesce("amihud", "worst"), 1e6)
     return x.groupBy("date").agg(F.round(F.sum(F.abs("dw")), 6).alias("turnover"), F.round(F.sum(paid) / 1e3, 6).alias("cost_k"))
 
 
+#: Weeks that a book is followed for; one starts each week, so books overlap.
+HOLD = 4
 DRIFT = WEIGHTED + """,
-rd as (select date, day_idx, row_number() over (order by day_idx) - 1 as k from (select distinct date, day_idx from weighted join cal using (date))),
-pd as (select date, day_idx as start_idx, coalesce(lead(day_idx) over (order by day_idx), day_idx) as end_idx from rd where k % 4 = 0),
+pd as (select date, day_idx as start_idx, least(day_idx + 4, max(day_idx) over ()) as end_idx from (select distinct date, day_idx from weighted join cal using (date))),
 dy as (select w.ticker, start_idx, weight, unnest(generate_series(start_idx + 1, end_idx)) as day_idx from weighted w join pd using (date) where end_idx > start_idx),
 gr as (select dy.*, product(1 + coalesce(ret, 0)) over (partition by start_idx, dy.ticker order by dy.day_idx) as growth from dy left join rets on rets.ticker = dy.ticker and rets.day_idx = dy.day_idx)"""
 
 
 def _drift(spark, folder):
-    weighted = panel._weighted(spark, folder).select("ticker", "date", "day_idx", "weight")
-    days = weighted.select("day_idx").distinct().withColumn("k", F.row_number().over(Window.orderBy("day_idx")) - 1).filter("k % 4 = 0")  # rebalance days
-    ends = days.withColumn("end_idx", F.coalesce(F.lead("day_idx").over(Window.orderBy("day_idx")), "day_idx")).select(F.col("day_idx").alias("start_idx"), "end_idx")
-    held = weighted.join(ends, F.col("day_idx") == F.col("start_idx")).drop("day_idx", "date")
+    """Growth of each name of every book over the weeks it is followed for, or as many as there are."""
+    weighted = panel.weighted_of(panel._kept_scores(spark, folder)).select("ticker", F.col("day_idx").alias("start_idx"), "weight")
+    last = weighted.agg(F.max("start_idx").alias("last"))  # one row
+    held = weighted.join(F.broadcast(last)).withColumn("end_idx", F.least(F.col("start_idx") + HOLD, "last")).drop("last")
     return books.drift(fx.with_returns(fx.weekly_bars(table(spark, folder, "lineitem"))), held)
 
 
@@ -230,7 +254,7 @@ def backtest_banded(spark, folder):
 
 
 @register(
-    f"""with {FORWARD}, rk as (select date, rank() over (partition by date order by momentum) as a, rank() over (partition by date order by fwd) as b from ic),
+    f"""with {FORWARD}, rk as (select date, {panel.average_rank_sql("momentum", "date")} as a, {panel.average_rank_sql("fwd", "date")} as b from ic),
 s as (select date, corr(a, b) as v from rk group by date having count(*) >= 20), n as (select row_number() over (order by date) as i, v - avg(v) over () as e, avg(v) over () as m, count(*) over () as n from s),
 l as (select max(n) as n, max(m) as m, floor(4 * pow(max(n) / 100.0::double, 2.0 / 9))::int as lags from n),
 g as (select y.i - x.i as k, sum(x.e * y.e) as c from n x join n y on y.i >= x.i and y.i - x.i <= 10 group by 1),
@@ -239,8 +263,7 @@ select n, lags, round(m, 6) as mean, case when n >= 10 then round(m / sqrt(s / n
 )
 def newey_west(spark, folder):
     """Mean rank correlation and its t value with Bartlett weights. One row per date, so lags are one small window."""
-    d = Window.partitionBy("date")
-    ic = panel._forward(spark, folder).select("date", F.rank().over(d.orderBy("momentum")).alias("a"), F.rank().over(d.orderBy("fwd")).alias("b"))
+    ic = panel._forward(spark, folder).select("date", panel.average_rank("momentum", "date").alias("a"), panel.average_rank("fwd", "date").alias("b"))
     ic = ic.groupBy("date").agg(F.count("*").alias("c"), F.corr("a", "b").alias("v")).filter("c >= 20")
     everything, order = Window.partitionBy(), Window.orderBy("date")
     e = ic.withColumns({"m": F.avg("v").over(everything), "n": F.count("*").over(everything)}).withColumn("e", F.col("v") - F.col("m")).withColumn("lags", F.floor(4 * F.pow(F.col("n") / 100.0, F.lit(2.0 / 9))).cast("int"))
