@@ -8,7 +8,7 @@ over days carries the book's value, which scales impact.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -73,6 +73,10 @@ def normal_noise(seed: int, *keys: str) -> Column:
     return F.sqrt(-2 * F.log(u[0])) * F.cos(2 * np.pi * u[1])
 
 
+def _on_step(s: Scenario) -> Callable[[Column], Column]:
+    return lambda k: k * s.every + s.offset
+
+
 def rebalances(days: DataFrame, scenarios: Sequence[Scenario], first_signal: Column) -> DataFrame:
     """Per scenario its rebalances: number ``k``, day, signal day, and the day of the next one (at the end the last day).
 
@@ -80,9 +84,10 @@ def rebalances(days: DataFrame, scenarios: Sequence[Scenario], first_signal: Col
     """
     out = []
     for s in scenarios:
-        start = first_signal + s.lag
-        every = F.filter(F.sequence(start, F.col("last")), lambda d, s=s: F.pmod(d, F.lit(s.every)) == s.offset % s.every)
-        out.append(F.struct(F.lit(s.name).alias("scenario"), F.lit(s.lag).alias("lag"), F.array_sort(F.array_union(F.array(start), every)).alias("at")))
+        start = (first_signal + s.lag).cast("long")
+        low, high = (F.floor((d - s.offset) / F.lit(s.every)).cast("long") for d in (start + s.every - 1, F.col("last")))
+        steps = F.when(low <= high, F.transform(F.sequence(low, high), _on_step(s))).otherwise(F.array().cast("array<bigint>"))
+        out.append(F.struct(F.lit(s.name).alias("scenario"), F.lit(s.lag).alias("lag"), F.array_sort(F.array_union(F.array(start), steps)).alias("at")))
     rows = days.select("last", F.inline(F.array(*out))).filter(F.col("at")[0] <= F.col("last"))
     rows = rows.select("scenario", "lag", "last", "at", F.posexplode("at").alias("k", "day"))
     following = F.coalesce(F.try_element_at("at", F.col("k") + 2), F.col("last"))

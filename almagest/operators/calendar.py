@@ -28,15 +28,17 @@ def decision_days(dates: DataFrame) -> DataFrame:
     return df.select("day", "trades", closed.alias("closed_weekday"), "data_after_close", "data_before_close", "rebalances", "decided_on", "executes_on")
 
 
-def execution_day(decisions: DataFrame, at: str, dates: DataFrame, opens: str = "09:30") -> DataFrame:
-    """``decisions`` with ``executes_on``: the day of their own if it trades and hasn't opened yet at ``at``, else the next.
+def execution_day(decisions: DataFrame, at_us: str, dates: DataFrame, opens: str = "09:30") -> DataFrame:
+    """``decisions`` with ``executes_on``: the day of ``at_us`` if it trades and hasn't opened yet then, else the next.
 
-    Decisions outside the calendar, or with a null time, are left out. The calendar is broadcast: a row per day.
+    ``at_us`` holds microseconds since 1970 on the clock of the market. Decisions outside the calendar, or with a null
+    time, are left out. The calendar is broadcast: a row per day.
     """
     hour, minute = map(int, opens.split(":"))
     days = decision_days(dates).select("day", "trades", F.col("executes_on").alias("__next"))
-    early = F.hour(at) * 60 + F.minute(at) < hour * 60 + minute
-    df = decisions.drop("day", "trades", "executes_on").withColumn("day", F.col(at).cast("date")).join(F.broadcast(days), "day")
+    seconds = F.floor(F.col(at_us) / F.lit(1_000_000))
+    day, early = F.date_from_unix_date(F.floor(seconds / F.lit(86400)).cast("int")), F.pmod(seconds, F.lit(86400)) < hour * 3600 + minute * 60
+    df = decisions.drop("day", "trades", "executes_on").withColumn("day", day).join(F.broadcast(days), "day")
     return df.withColumn("executes_on", F.when(F.col("trades") & early, F.col("day")).otherwise(F.col("__next"))).drop("day", "trades", "__next")
 
 

@@ -142,14 +142,14 @@ def decision_calendar(spark, folder):
 
 
 @register(
-    f"""with {CALENDAR}, r as (select request_id, received_at + interval 15 minute as moment from decide_requests where received_at is not null),
-x as (select request_id, moment::date as day, moment::time < time '09:30:00' as early from r)
-select request_id, case when trades and early then day else next_open end as executes_on from x join wk using (day)"""
+    f"""with {CALENDAR}, r as (select bar_id, epoch_us(loaded_at) // 1000000 + 900 as s from stocks_daily where loaded_at is not null),
+x as (select bar_id, date '1970-01-01' + cast(s // 86400 as int) as day, s % 86400 < 34200 as early from r)
+select bar_id, case when trades and early then day else next_open end as executes_on from x join wk using (day)"""
 )
 def execution_days(spark, folder):
-    """The first session that opens after a decision, 15 minutes after each request (times of day read as local here)."""
-    requests = table(spark, folder, "decide_requests").select("request_id", (F.col("received_at") + F.expr("interval 15 minutes")).alias("at")).filter("at is not null")
-    return cal.execution_day(requests, "at", table(spark, folder, "index_daily").select("date")).select("request_id", "executes_on")
+    """The first session that opens after a decision taken 15 minutes after each delivery (times of day in UTC)."""
+    loaded = table(spark, folder, "stocks_daily").select("bar_id", (F.unix_micros("loaded_at") + 900_000_000).alias("at")).filter("at is not null")
+    return cal.execution_day(loaded, "at", table(spark, folder, "index_daily").select("date")).select("bar_id", "executes_on")
 
 
 # --- groups in force

@@ -227,13 +227,6 @@ def weights_capped(spark, folder):
     return rounded(_weighted(spark, folder).select("ticker", "date", "weight"), "weight")
 
 
-@register(f"with {WEIGHTED}, h as (select cast(ticker as varchar) as ticker, date, weight * 0.75::double as weight from weighted) select ticker, date, round(weight, 6) as weight from h union all select 'CASHHOLDING', date, round(1 - sum(weight), 6) from h group by date having 1 - sum(weight) > 1e-9")
-def cash_line(spark, folder):
-    held = _weighted(spark, folder).select(F.col("ticker").cast("string").alias("ticker"), "date", (F.col("weight") * 0.75).alias("weight"))
-    cash = held.groupBy("date").agg((1 - F.sum("weight")).alias("weight")).filter("weight > 1e-9").select(F.lit("CASHHOLDING").alias("ticker"), "date", "weight")
-    return rounded(held.unionByName(cash), "weight")
-
-
 @register(f"with {LIQ} select ticker, date, round(1.0::double / count(*) over (partition by date), 6) as weight from liq")
 def ew_benchmark(spark, folder):
     return _liquid(spark, folder).select("ticker", "date", F.round(1.0 / F.count("*").over(Window.partitionBy("date")), 6).alias("weight"))
