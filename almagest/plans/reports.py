@@ -70,18 +70,6 @@ def sue(spark, folder):
     return rounded(reports.surprise(_reports(spark, folder)).select("ticker", "pe", "sue"), "sue")
 
 
-@register(
-    f"""with {SUE}, c as (select max(knowable) - 200 as cutoff from known), v as (select s.ticker, s.pe, s.sue, k.knowable, cutoff from sue s join known k using (ticker, pe) cross join c where knowable <= cutoff)
-select ticker, pe, case when cutoff - knowable < 91 then round(sue, 6) end as pead from v qualify row_number() over (partition by ticker order by pe desc) = 1"""
-)
-def pead(spark, folder):
-    known = _known(spark, folder)
-    cutoff = F.broadcast(known.agg(F.date_sub(F.max("knowable"), 200).alias("cutoff")))  # one row
-    seen = reports.surprise(_reports(spark, folder)).join(known, ["ticker", "pe"]).join(cutoff, F.col("knowable") <= F.col("cutoff"))
-    last = seen.groupBy("ticker").agg(F.max(F.struct("pe", "sue", "knowable", "cutoff")).alias("r"))
-    return last.select("ticker", F.col("r.pe").alias("pe"), F.when(F.datediff("r.cutoff", "r.knowable") < 91, F.round("r.sue", 6)).alias("pead"))
-
-
 @register(
     f"""with {TTM}, {panel.BARS} select t.ticker, t.pe, round(greatest(ttm_eps, 0) / b.close, 6) as value_yield from ttm t join known k using (ticker, pe) join bars b on b.ticker = t.ticker and b.date = date_trunc('week', k.knowable)::date where ttm_eps is not null"""
 )
