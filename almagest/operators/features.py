@@ -48,6 +48,17 @@ def market_returns(panel: DataFrame) -> DataFrame:
     return daily.select("date", "mkt", F.count("mkt").over(year).alias("mkt_n"), F.sum("mkt").over(year).alias("mkt_sum"), F.sum(F.col("mkt") * F.col("mkt")).over(year).alias("mkt_sq"))
 
 
+def market_or_given(daily: DataFrame, given: str, least: float = 0.9) -> DataFrame:
+    """``daily`` (``date, day_idx, mkt`` and ``given``, a row per date) with ``market``: the given one if it covers enough.
+
+    Enough is more than ``least`` of the dates of the trailing year; else the mean of all names counts. ``given_used``
+    says which; where the given one counts, its missing days are zero.
+    """
+    year = Window.orderBy("day_idx").rangeBetween(-YEAR, 0)
+    enough = F.count(given).over(year) / F.count(F.lit(1)).over(year) > least
+    return daily.withColumn("given_used", enough).withColumn("market", F.when(F.col("given_used"), F.coalesce(given, F.lit(0.0))).otherwise(F.col("mkt")))
+
+
 def features(panel: DataFrame) -> DataFrame:
     """adv20, rv21, amihud, momentum 12-1 and shrunk beta for every ticker and date. Two shuffles: ticker, date."""
     panel = with_returns(panel)

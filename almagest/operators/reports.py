@@ -29,10 +29,30 @@ SECTORS = [
 ]
 
 
-def sector(code: Column) -> Column:
-    """Sector group of a four-digit industry code given as text; 'other' where there is none."""
+# Words of an industry's description and their sector groups; the first that fits counts.
+KEYWORDS = [
+    ("pharm|biolog|chemical|drug", "pharma_chemicals"),
+    ("semiconductor|computer|electronic", "tech_hardware"),
+    ("software|prepackaged|data processing|services-", "software_services"),
+    ("bank|insur|invest|finance|reit|real estate", "financials"),
+    ("electric|gas|water|utilit", "utilities"),
+    ("telephone|communication|broadcast|cable", "communications"),
+    ("oil|petroleum|mining|metal|steel|crude", "materials_energy"),
+    ("health|hospital|medical", "health_services"),
+    ("retail|wholesale|store|restaurant|eating", "consumer_trade"),
+]
+
+
+def sector(code: Column, description: Column | None = None) -> Column:
+    """Sector group of a four-digit industry code given as text; 'other' where there is none.
+
+    With a ``description``, codes of no group and missing ones get the group of the first words that it holds.
+    """
     two = F.floor(code.try_cast("double") / 100)
-    return reduce(lambda out, r: out.when(two.between(r[0], r[1]), r[2]), SECTORS, F.when(two.isNull(), "other")).otherwise("other")
+    out = reduce(lambda out, r: out.when(two.between(r[0], r[1]), r[2]), SECTORS, F.when(F.lit(False), "other"))
+    if description is not None:
+        out = reduce(lambda out, r: out.when(F.lower(description).rlike(r[0]), r[1]), KEYWORDS, out)
+    return out.otherwise("other")
 
 
 def trailing_year(reports: DataFrame, flows: list[str]) -> DataFrame:

@@ -263,22 +263,28 @@ def newey_west(spark, folder):
     return out.select("n", "lags", F.round("m", 6).alias("mean"), F.when(F.col("n") >= 10, F.round(F.col("m") / F.sqrt(F.col("s") / F.col("n") / F.col("n")), 6)).alias("t"))
 
 
+def rand_index(pairs: DataFrame, by: str) -> DataFrame:
+    """Adjusted Rand index of two groupings ``a`` and ``b`` for each ``by``, from the counts of their common cells."""
+    cells = pairs.groupBy(by, "a", "b").agg(F.count("*").alias("n"))
+    two = lambda c: F.sum(c * (c - 1) / 2.0)
+    side = lambda c, out: cells.groupBy(by, c).agg(F.sum("n").alias("x")).groupBy(by).agg(two(F.col("x")).alias(out))
+    t = cells.groupBy(by).agg(F.sum("n").alias("names"), two(F.col("n")).alias("ab")).join(side("a", "ra"), by).join(side("b", "rb"), by)
+    chance = F.col("ra") * F.col("rb") / (F.col("names") * (F.col("names") - 1) / 2.0)
+    return t.select(by, "names", ((F.col("ab") - chance) / F.nullif((F.col("ra") + F.col("rb")) / 2 - chance, F.lit(0.0))).alias("ari"))
+
+
 @register(
-    """with c as (select label as a, vec_id % 7 as b, count(*) as n from embeddings group by 1, 2), n as (select sum(n) as n from c),
-t as (select (select sum(n * (n - 1) / 2.0::double) from c) as ab, (select sum(x * (x - 1) / 2.0::double) from (select sum(n) as x from c group by a)) as a, (select sum(x * (x - 1) / 2.0::double) from (select sum(n) as x from c group by b)) as b, n.n * (n.n - 1) / 2.0::double as p from n)
-select round((ab - a * b / p) / nullif((a + b) / 2 - a * b / p, 0), 6) as ari from t"""
+    """with dim as (select vec_id, label, [embedding[k]::double for k in range(1, 9)] as x from embeddings),
+g as (select label, vec_id, list_position(x, list_max(x)) as b from dim),
+c as (select label as a, b, count(*) as n from g group by 1, 2), n as (select sum(n) as n from c),
+t as (select (select sum(n * (n - 1) / 2.0::double) from c) as ab, (select sum(x * (x - 1) / 2.0::double) from (select sum(n) as x from c group by a)) as a, (select sum(x * (x - 1) / 2.0::double) from (select sum(n) as x from c group by b)) as b, n.n * (n.n - 1) / 2.0::double as p, n.n as names from n)
+select names::bigint as names, round((ab - a * b / p) / nullif((a + b) / 2 - a * b / p, 0), 6) as ari from t"""
 )
 def adj_rand(spark, folder):
-    """Adjusted Rand index of two groupings, from the counts of their common cells."""
-    cells = table(spark, folder, "embeddings").groupBy(F.col("label").alias("a"), (F.col("vec_id") % 7).alias("b")).agg(F.count("*").cast("double").alias("n"))
-    two = lambda c: F.sum(c * (c - 1) / 2)
-    rows = cells.groupBy("a").agg(F.sum("n").alias("x")).agg(two(F.col("x")).alias("ra"), F.sum("x").alias("n"))
-    cols = cells.groupBy("b").agg(F.sum("n").alias("x")).agg(two(F.col("x")).alias("rb"), F.lit(1).alias("k"))
-    both = cells.agg(two(F.col("n")).alias("ab"), F.lit(1).alias("k"))
-    t = rows.withColumn("k", F.lit(1)).join(cols, "k").join(both, "k")  # one row each
-    p = F.col("n") * (F.col("n") - 1) / 2
-    chance = F.col("ra") * F.col("rb") / p
-    return t.select(F.round((F.col("ab") - chance) / F.nullif((F.col("ra") + F.col("rb")) / 2 - chance, F.lit(0.0)), 6).alias("ari"))
+    """How the labels of vectors agree with the largest of their first eight coordinates (adjusted Rand index)."""
+    first = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))
+    pairs = table(spark, folder, "embeddings").select(F.lit(1).alias("all"), F.col("label").alias("a"), F.array_position(first, F.array_max(first)).alias("b"))
+    return rounded(rand_index(pairs, "all").select("names", "ari"), "ari")
 
 
 #: Returns before 1 January of a year that a model of that year takes.
