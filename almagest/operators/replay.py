@@ -53,8 +53,8 @@ def score(records: DataFrame, prices: DataFrame, flat_bps: float = 10.0) -> Data
     days = prices.select("date").distinct()
     span = days.agg(F.max("date").alias("__last"))
     periods = trades.withColumnRenamed("execution_date", "start").join(F.broadcast(days.withColumnRenamed("date", "start")), "start").join(F.broadcast(span))
-    periods = periods.withColumn("end", F.coalesce(F.lead("start").over(order), F.col("__last")))
-    held = periods.select("start", "end", (F.col("end") == F.col("__last")).alias("final"), F.inline("target_holdings")).filter(F.col("ticker") != CASH)
+    periods = periods.withColumn("next", F.lead("start").over(order)).withColumns({"end": F.coalesce("next", "__last"), "final": F.col("next").isNull()})
+    held = periods.select("start", "end", "final", F.inline("target_holdings")).filter(F.col("ticker") != CASH)
 
     w = Window.partitionBy("ticker").orderBy("date")
     bars = prices.filter("close > 0").withColumn("__prev", F.lag("close").over(w))

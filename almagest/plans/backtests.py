@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from almagest.operators import backtest as bt
 from almagest.operators import features as fx
+from almagest.operators import models
 from almagest.operators import series as sr
 from almagest.plans import panel
 from almagest.plans.panel import RETS, WEIGHTED, register, rounded
@@ -133,3 +135,37 @@ def audit_suite(spark, folder):
     gap = daily.join(base, "day_idx").groupBy("scenario").agg((F.avg(F.col("ret") - F.col("base")) * WEEKS).alias("gap_ann"))
     out = bt.summary(daily, WEEKS).join(capm, "scenario", "left").join(gap, "scenario", "left")
     return rounded(out, *[c for c in out.columns if c not in ("scenario", "n_days")])
+
+
+@register()
+def sharpe_deflated(spark, folder):
+    """How likely each scenario's Sharpe ratio is no luck, as one of as many trials as there are scenarios.
+
+    The spread of the trials is that of the scenarios' own ratios (per bar); moments are those of samples.
+    """
+    daily = bt.run(*_inputs(spark, folder), suite(), BOOK)["daily"]
+    n, g = F.col("n"), F.col("k")
+    m = daily.groupBy("scenario").agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("sd"), F.skewness("ret").alias("s"), F.kurtosis("ret").alias("k")).filter("n > 3 and sd > 0")
+    every = Window.partitionBy()  # a row per scenario
+    m = m.withColumn("sharpe", F.col("mean") / F.col("sd")).withColumns({"trials": F.count("*").over(every), "spread": F.coalesce(F.stddev_samp("sharpe").over(every), F.lit(0.0))})
+    skew = F.col("s") * F.sqrt(n * (n - 1)) / (n - 2)
+    kurtosis = ((n + 1) * g + 6) * (n - 1) / ((n - 2) * (n - 3)) + 3
+
+    @F.pandas_udf("double")
+    def deflated(mean: pd.Series, sd: pd.Series, s: pd.Series, k: pd.Series, count: pd.Series, trials: pd.Series, spread: pd.Series) -> pd.Series:
+        return pd.Series([round(models.deflated_sharpe(*row), 6) for row in zip(mean, sd, s, k, count, trials, spread)])
+
+    return rounded(m.select("scenario", "n", "sharpe", "trials", deflated("mean", "sd", skew, kurtosis, "n", "trials", "spread").alias("probability")), "sharpe")
+
+
+@register()
+def cost_break_even(spark, folder):
+    """At which multiple of the costs the base earns no more than the panel's market: a line through one, two and three times."""
+    pool, returns = _inputs(spark, folder)
+    runs = [BASE, replace(BASE, name="cost_twice", cost_times=2.0), replace(BASE, name="cost_three_times", cost_times=3.0)]
+    daily = bt.run(pool, returns, runs, BOOK)["daily"]
+    times = F.element_at(F.create_map(*[x for s in runs for x in (F.lit(s.name), F.lit(s.cost_times))]), F.col("scenario"))
+    yearly = daily.groupBy("scenario").agg((F.avg("ret") * WEEKS).alias("ann")).withColumn("times", times)
+    market = returns.groupBy("day_idx").agg(F.avg("ret").alias("m")).agg((F.avg("m") * WEEKS).alias("market"))  # one row
+    line = yearly.agg(F.regr_slope("ann", "times").alias("slope"), F.regr_intercept("ann", "times").alias("start")).join(market)
+    return rounded(line.select("start", "slope", "market", ((F.col("market") - F.col("start")) / F.nullif("slope", F.lit(0.0))).alias("break_even")), "start", "slope", "market", "break_even")

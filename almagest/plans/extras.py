@@ -188,22 +188,6 @@ def hmm_fit(spark, folder):
     return rp._upto_year(spark, folder).groupBy("name", "fit_year").applyInPandas(fit, "name string, fit_year int, calm_sd double, stress_sd double, stay_calm double, stay_stress double")
 
 
-@register()
-def sharpe_deflated(spark, folder):
-    """Deflated Sharpe ratio of each index as if it were the best of 20 trials; moments as of samples."""
-    m = panel._index_returns(spark, folder).filter("ret is not null").groupBy("name")
-    n, g = F.col("n"), F.col("k")
-    m = m.agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("sd"), F.skewness("ret").alias("s"), F.kurtosis("ret").alias("k"))
-    skew = F.col("s") * F.sqrt(n * (n - 1)) / (n - 2)
-    kurtosis = ((n + 1) * g + 6) * (n - 1) / ((n - 2) * (n - 3)) + 3
-
-    @F.pandas_udf("double")
-    def deflated(mean: pd.Series, sd: pd.Series, s: pd.Series, k: pd.Series, count: pd.Series) -> pd.Series:
-        return pd.Series([round(models.deflated_sharpe(*row, 20, 0.02), 6) for row in zip(mean, sd, s, k, count)])
-
-    return m.select("name", "n", deflated("mean", "sd", skew, kurtosis, "n").alias("probability"))
-
-
 @register()
 def monte_carlo(spark, folder):
     """Compounded returns of 21 days drawn in blocks of mean length 5 from each index: 20,000 paths over tasks."""

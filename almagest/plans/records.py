@@ -110,7 +110,7 @@ def custom_backtest(spark, folder):
 
 # --- past crises
 
-CRISES = [("first winter", "1992-11-01", "1993-02-28"), ("third summer", "1994-06-01", "1994-08-31"), ("late fall", "1997-09-01", "1997-11-30")]
+CRISES = [("first winter", "1995-11-01", "1996-02-28"), ("third summer", "1997-06-01", "1997-08-31"), ("late fall", "2000-09-01", "2000-11-30")]
 SHOCKS = (-0.05, -0.1, -0.2)
 
 
