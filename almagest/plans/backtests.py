@@ -34,9 +34,9 @@ mk5 as (select mk3.*, case when vol is not null and seen >= 52 then atmost::doub
 flag as (select date, max((coalesce(below_ma, false) and coalesce(high, false))::int) over (order by date rows between 1 preceding and current row) = 1 as stress, coalesce(ret_year < 0, false) and coalesce(high, false) as panic from mk5)"""
 
 
-def _flags(spark: SparkSession, folder: str) -> DataFrame:
+def _flags(spark: SparkSession, folder: str, bars: DataFrame | None = None) -> DataFrame:
     """``date, stress, panic`` of the panel's equal-weight market; each bar is a weekly check."""
-    market = fx.with_returns(panel._bars(spark, folder)).groupBy("date").agg(F.avg("ret").alias("ret")).filter("ret is not null")
+    market = fx.with_returns(panel._bars(spark, folder) if bars is None else bars).groupBy("date").agg(F.avg("ret").alias("ret")).filter("ret is not null")
     level = F.product(1 + F.col("ret")).over(Window.orderBy("date"))  # a row per week
     flags = sr.conditions(market.select(F.lit("market").alias("name"), "date", level.alias("close")), **SPANS)
     return sr.held_on(flags, "stress_raw", "stress").select("date", "stress", "panic")
@@ -52,8 +52,8 @@ def panel_flags(spark, folder):
 )
 def cash_line(spark, folder):
     """Weights with a quarter in cash under stress, and the line of cash."""
-    flags = _flags(spark, folder)
-    held = panel._weighted(spark, folder).join(F.broadcast(flags), "date", "left")  # a row per date
+    bars = panel._kept_bars(spark, folder)
+    held = panel.weighted_of(panel._scored(spark, folder, bars)).join(F.broadcast(_flags(spark, folder, bars)), "date", "left")  # a row per date
     held = held.select(F.col("ticker").cast("string").alias("ticker"), "date", (F.col("weight") * F.when(F.col("stress"), 0.75).otherwise(1.0)).alias("weight"))
     cash = held.groupBy("date").agg(F.round(1 - F.sum("weight"), 10).alias("weight")).filter("weight > 1e-9").select(F.lit("CASHHOLDING").alias("ticker"), "date", "weight")
     return rounded(held.unionByName(cash), "weight")
@@ -63,10 +63,11 @@ def cash_line(spark, folder):
 
 
 def _inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    scored = panel._scored(spark, folder).withColumn("bps", panel.tier())
-    pool = scored.join(F.broadcast(_flags(spark, folder)), "date", "left")  # a row per date
+    bars = panel._kept_bars(spark, folder)
+    scored = panel._scored(spark, folder, bars).withColumn("bps", panel.tier())
+    pool = scored.join(F.broadcast(_flags(spark, folder, bars)), "date", "left")  # a row per date
     pool = pool.select("ticker", "day_idx", "grp", "beta", "amihud", "bps", (F.col("ticker") % 4 == 0).alias("near"), *[F.coalesce(c, F.lit(False)).alias(c) for c in ("stress", "panic")], *[f"z_{f}" for f in panel.FACTORS])
-    return pool, fx.with_returns(panel._bars(spark, folder)).select("ticker", "day_idx", "ret")
+    return pool, fx.with_returns(bars).select("ticker", "day_idx", "ret")
 
 
 PLAIN = bt.Scenario("plain", panel.FACTORS, keeps=False, band=0.0)

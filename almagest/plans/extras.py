@@ -291,14 +291,13 @@ select scenario, count(*) as holdings, count(fwd) as known, round(avg(fwd), 6) a
 @register(_scenario_sql())
 def drop_one_scenarios(spark, folder):
     """Unheld books with each factor left out in turn: scenarios are rows, so all run in one pass."""
-    z = panel._scored(spark, folder)
+    z = panel._scored(spark, folder, panel._bars_ahead(spark, folder))
     score = lambda drop: sum((F.coalesce(F.col(f"z_{f}"), F.lit(0.0)) * (0.0 if f == drop else w) for f, w in panel.FACTORS.items()), F.lit(0.0))
-    rows = z.select("ticker", "date", "grp", F.inline(F.array(*[F.struct(F.lit(n).alias("scenario"), F.round(score(drop), 9).alias("s")) for n, drop in _DROPS])))
+    rows = z.select("ticker", "date", "grp", "fwd", F.inline(F.array(*[F.struct(F.lit(n).alias("scenario"), F.round(score(drop), 9).alias("s")) for n, drop in _DROPS])))
     own, all_ = Window.partitionBy("scenario", "date", "grp"), Window.partitionBy("scenario", "date")
     best = (F.desc("s"), "ticker")
     book = rows.withColumn("gr", F.row_number().over(own.orderBy(*best))).filter("gr <= 4").withColumn("rk", F.row_number().over(all_.orderBy(*best))).filter("rk <= 15")
-    fwd = panel._forward(spark, folder).select("ticker", "date", "fwd")
-    return book.join(fwd, ["ticker", "date"], "left").groupBy("scenario").agg(F.count("*").alias("holdings"), F.count("fwd").alias("known"), F.round(F.avg("fwd"), 6).alias("fwd"))
+    return book.groupBy("scenario").agg(F.count("*").alias("holdings"), F.count("fwd").alias("known"), F.round(F.avg("fwd"), 6).alias("fwd"))
 
 
 @register(
@@ -309,11 +308,10 @@ select seed, count(*) as holdings, round(avg(fwd), 6) as fwd from x left join ic
 def random_books(spark, folder):
     """Books of names by a hash of seed and ticker, so a name keeps its place from date to date."""
     seeds = F.explode(F.array(*[F.lit(k) for k in range(5)]))
-    rows = panel._liquid(spark, folder).select("ticker", "date", seeds.alias("seed"))
+    rows = panel._liquid(spark, folder, panel._bars_ahead(spark, folder)).select("ticker", "date", "fwd", seeds.alias("seed"))
     key = F.md5(F.concat_ws("-", F.col("seed").cast("string"), F.col("ticker").cast("string")))
     rows = rows.withColumn("rk", F.row_number().over(Window.partitionBy("seed", "date").orderBy(key))).filter("rk <= 15")
-    fwd = panel._forward(spark, folder).select("ticker", "date", "fwd")
-    return rows.join(fwd, ["ticker", "date"], "left").groupBy("seed").agg(F.count("*").alias("holdings"), F.round(F.avg("fwd"), 6).alias("fwd"))
+    return rows.groupBy("seed").agg(F.count("*").alias("holdings"), F.round(F.avg("fwd"), 6).alias("fwd"))
 
 
 @register(

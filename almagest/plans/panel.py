@@ -82,28 +82,40 @@ def _bars(spark: SparkSession, folder: str) -> DataFrame:
     return fx.weekly_bars(table(spark, folder, "lineitem"))
 
 
-def _features(spark: SparkSession, folder: str) -> DataFrame:
-    return fx.features(_bars(spark, folder))
+def _kept_bars(spark: SparkSession, folder: str) -> DataFrame:
+    """Bars, written once for plans that use them in several places."""
+    return checkpoint(_bars(spark, folder))
+
+
+def _bars_ahead(spark: SparkSession, folder: str) -> DataFrame:
+    """Bars with the return from the next bar to the fifth after it, ``fwd``, which all later steps carry along."""
+    w = Window.partitionBy("ticker").orderBy("day_idx")
+    lead = lambda k: F.max("close").over(w.rangeBetween(k, k))
+    return _bars(spark, folder).withColumn("fwd", lead(5) / lead(1) - 1)
+
+
+def _features(spark: SparkSession, folder: str, bars: DataFrame | None = None) -> DataFrame:
+    return fx.features(_bars(spark, folder) if bars is None else bars)
 
 
 def _groups(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "supplier").join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("ticker"), F.col("n_regionkey").alias("grp"))
 
 
-def _liquid(spark: SparkSession, folder: str) -> DataFrame:
-    pool = fx.liquid(_features(spark, folder), MIN_ADV, MIN_PRICE).join(_groups(spark, folder), "ticker", "left")
+def _liquid(spark: SparkSession, folder: str, bars: DataFrame | None = None) -> DataFrame:
+    pool = fx.liquid(_features(spark, folder, bars), MIN_ADV, MIN_PRICE).join(_groups(spark, folder), "ticker", "left")
     return pool.withColumns({"low_risk": -F.col("rv21"), "low_beta": -F.col("beta"), "size": F.log("adv20")})
 
 
-def _scored(spark: SparkSession, folder: str) -> DataFrame:
+def _scored(spark: SparkSession, folder: str, bars: DataFrame | None = None) -> DataFrame:
     # Ranks compare scores to nine digits, so that the order of a sum decides no tie.
-    return fx.composite(_liquid(spark, folder), FACTORS, "grp")
+    return fx.composite(_liquid(spark, folder, bars), FACTORS, "grp")
 
 
-def _kept_scores(spark: SparkSession, folder: str) -> DataFrame:
+def _kept_scores(spark: SparkSession, folder: str, bars: DataFrame | None = None) -> DataFrame:
     """Scores of the liquid names with what books and costs need, written once for plans that use them several times."""
     columns = ["ticker", "date", "day_idx", "grp", "score", "close", "beta", "adv20", "amihud"]
-    return checkpoint(_scored(spark, folder).select(*columns, *[f"z_{f}" for f in FACTORS]))
+    return checkpoint(_scored(spark, folder, bars).select(*columns, *[f"z_{f}" for f in FACTORS]))
 
 
 def book_of(scored: DataFrame) -> DataFrame:
@@ -269,21 +281,14 @@ ic as (select l.ticker, l.date, momentum, fwd from liq l join fwd f on f.ticker
 al as (select l.ticker, l.date, momentum, -rv21 as low_risk, -beta as low_beta, ln(adv20) as size, fwd from feat l join fwd f on f.ticker = l.ticker and f.date = l.date where fwd is not null)"""
 
 
-def _returns_ahead(spark, folder):
-    """Return from the next bar to the fifth after it."""
-    w = Window.partitionBy("ticker").orderBy("day_idx")
-    lead = lambda k: F.max("close").over(w.rangeBetween(k, k))
-    return _bars(spark, folder).select("ticker", "date", (lead(5) / lead(1) - 1).alias("fwd")).filter("fwd is not null")
-
-
 def _forward(spark, folder):
-    return _liquid(spark, folder).join(_returns_ahead(spark, folder), ["ticker", "date"])
+    return _liquid(spark, folder, _bars_ahead(spark, folder)).filter("fwd is not null")
 
 
 def _forward_all(spark, folder):
     """Factors and returns ahead of all names, liquid or not."""
-    feat = _features(spark, folder).select("ticker", "date", "momentum", (-F.col("rv21")).alias("low_risk"), (-F.col("beta")).alias("low_beta"), F.log("adv20").alias("size"))
-    return feat.join(_returns_ahead(spark, folder), ["ticker", "date"])
+    feat = _features(spark, folder, _bars_ahead(spark, folder)).filter("fwd is not null")
+    return feat.select("ticker", "date", "momentum", (-F.col("rv21")).alias("low_risk"), (-F.col("beta")).alias("low_beta"), F.log("adv20").alias("size"), "fwd")
 
 
 @register(f"with {FORWARD} select ticker, date, round(fwd, 6) as fwd from ic")

@@ -11,6 +11,7 @@ from almagest.plans import extras, panel
 from almagest.plans import reports as rp
 from almagest.plans.backtests import FLAGS, _flags
 from almagest.plans.panel import WEIGHTED, register, rounded
+from almagest.session import checkpoint
 from almagest.sources.tables import table
 
 # --- records
@@ -22,18 +23,18 @@ h2 as (select *, round(weight, 6) as r, round(sum(weight) over (partition by dat
 tg as (select date, ticker, round(r + case when n = 1 then rest else 0 end, 6) as weight from h2)"""
 
 
-def _targets(spark: SparkSession, folder: str) -> DataFrame:
-    """Target weights of every date with cash, to six digits: ``date, ticker, weight, stress``."""
-    flags = F.broadcast(_flags(spark, folder))  # a row per date
-    held = panel._weighted(spark, folder).select("date", F.col("ticker").cast("string").alias("ticker"), "weight").join(flags, "date", "left")
+def _targets(spark: SparkSession, folder: str, bars: DataFrame) -> DataFrame:
+    """Target weights of every date with cash, to six digits: ``date, ticker, weight``."""
+    flags = F.broadcast(_flags(spark, folder, bars))  # a row per date
+    held = panel.weighted_of(panel._scored(spark, folder, bars)).select("date", F.col("ticker").cast("string").alias("ticker"), "weight").join(flags, "date", "left")
     held = held.withColumn("weight", F.col("weight") * F.when(F.col("stress"), 0.75).otherwise(1.0))
     return replay.six_digits(replay.with_cash(held))
 
 
-def _records(spark: SparkSession, folder: str) -> DataFrame:
+def _records(spark: SparkSession, folder: str, bars: DataFrame) -> DataFrame:
     """A record for each bar from the first decision on: every fourth bar decides anew, the others hold."""
-    days = fx.calendar(panel._bars(spark, folder))
-    decided = replay.holdings(_targets(spark, folder)).join(F.broadcast(days), "date").filter("day_idx % 4 = 0").select(F.col("date").alias("decided_on"), "target_holdings")
+    days = fx.calendar(bars)
+    decided = replay.holdings(_targets(spark, folder, bars)).join(F.broadcast(days), "date").filter("day_idx % 4 = 0").select(F.col("date").alias("decided_on"), "target_holdings")
     order = Window.orderBy("date")  # a row per bar
     df = days.join(decided, F.col("date") == F.col("decided_on"), "left")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
@@ -49,7 +50,7 @@ select 'weekly-' || strftime(data_through, '%Y-%m-%d') as decision_id, data_thro
 )
 def decision_records(spark, folder):
     """Decision records: what is known, decided, to be done and held, with cash, to a total of one."""
-    df = _records(spark, folder)
+    df = _records(spark, folder, panel._kept_bars(spark, folder))
     line = F.array_join(F.transform("target_holdings", lambda h: F.concat(h["ticker"], F.lit(":"), F.format_string("%.6f", h["weight"]))), ",")
     total = F.round(F.aggregate("target_holdings", F.lit(0.0), lambda a, h: a + h["weight"]), 6)
     return df.select(F.concat(F.lit("weekly-"), F.date_format("data_through", "yyyy-MM-dd")).alias("decision_id"), "data_through", "decided_on", "execution_date", "action", line.alias("holdings"), F.size("target_holdings").cast("long").alias("names"), total.alias("total"))
@@ -58,8 +59,9 @@ def decision_records(spark, folder):
 @register()
 def replay_score(spark, folder):
     """The records executed at the next bar's open, here the last close, and what each bar then earned, net of 10 basis points."""
-    prices = panel._bars(spark, folder).select(F.col("ticker").cast("string").alias("ticker"), "date", F.lit(None).cast("double").alias("open"), "close")
-    return rounded(replay.score(_records(spark, folder), prices), "gross", "cost", "turnover", "net")
+    bars = panel._kept_bars(spark, folder)
+    prices = bars.select(F.col("ticker").cast("string").alias("ticker"), "date", F.lit(None).cast("double").alias("open"), "close")
+    return rounded(replay.score(checkpoint(_records(spark, folder, bars)), prices), "gross", "cost", "turnover", "net")
 
 
 # --- daily prices
@@ -126,10 +128,11 @@ union all select 'market ' || printf('%.0f', shock * 100) || ' %', round(shock *
 )
 def crisis_replay(spark, folder):
     """The last book held through past windows, over the weight of names with prices then, and under shocks by its beta."""
-    weighted = panel._weighted(spark, folder).select("date", "ticker", "weight", "beta")
+    bars = panel._kept_bars(spark, folder)
+    weighted = panel.weighted_of(panel._scored(spark, folder, bars)).select("date", "ticker", "weight", "beta")
     book = weighted.groupBy("date").agg(F.collect_list(F.struct("ticker", "weight", "beta")).alias("b")).agg(F.max_by("b", "date").alias("b")).select(F.inline("b"))
     book = book.withColumn("beta", F.coalesce("beta", F.lit(1.0)))
-    returns = fx.with_returns(panel._bars(spark, folder)).select("ticker", "date", "close", "ret")
+    returns = fx.with_returns(bars).select("ticker", "date", "close", "ret")
     days = returns.groupBy("date").agg(F.avg("ret").alias("ret"))  # a row per bar
     windows = spark.createDataFrame(CRISES, "name string, first string, last string").select("name", F.col("first").cast("date").alias("first"), F.col("last").cast("date").alias("last"))
     # The bars at or before both ends.

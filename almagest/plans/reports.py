@@ -206,10 +206,11 @@ gr as (select dy.*, product(1 + coalesce(ret, 0)) over (partition by start_idx,
 
 def _drift(spark, folder):
     """Growth of each name of every book over the weeks it is followed for, or as many as there are."""
-    weighted = panel.weighted_of(panel._kept_scores(spark, folder)).select("ticker", F.col("day_idx").alias("start_idx"), "weight")
+    bars = panel._kept_bars(spark, folder)
+    weighted = panel.weighted_of(panel._kept_scores(spark, folder, bars)).select("ticker", F.col("day_idx").alias("start_idx"), "weight")
     last = weighted.agg(F.max("start_idx").alias("last"))  # one row
     held = weighted.join(F.broadcast(last)).withColumn("end_idx", F.least(F.col("start_idx") + HOLD, "last")).drop("last")
-    return books.drift(fx.with_returns(fx.weekly_bars(table(spark, folder, "lineitem"))), held)
+    return books.drift(fx.with_returns(bars), held)
 
 
 @register(f"with {DRIFT} select start_idx, day_idx, round(1 + sum(weight * (growth - 1)), 6) as value from gr group by 1, 2")
@@ -230,11 +231,12 @@ BANDED = [(1, 15, 30, 4), (2, 15, 15, 4), (3, 15, 60, 4), (4, 25, 50, 7)]
 @register()
 def backtest_banded(spark, folder):
     """Books of four scenarios with exit bands, each carried from date to date, and their value path by week."""
-    ranked = panel._scored(spark, folder).withColumn("rnk", F.row_number().over(Window.partitionBy("date").orderBy(F.desc(F.round("score", 9)), "ticker")))
+    bars = panel._kept_bars(spark, folder)
+    ranked = panel._scored(spark, folder, bars).withColumn("rnk", F.row_number().over(Window.partitionBy("date").orderBy(F.desc(F.round("score", 9)), "ticker")))
     top, quota = max(max(n, leave) for _, n, leave, _ in BANDED), max(q for *_, q in BANDED)
     book = books.banded_books(books.within_reach(ranked.select("date", "ticker", "grp", "rnk"), top, quota), BANDED)
     w = Window.partitionBy("ticker").orderBy("day_idx")
-    nxt = fx.weekly_bars(table(spark, folder, "lineitem")).select("ticker", "date", (F.max("close").over(w.rangeBetween(1, 1)) / F.col("close") - 1).alias("next_ret"))
+    nxt = bars.select("ticker", "date", (F.max("close").over(w.rangeBetween(1, 1)) / F.col("close") - 1).alias("next_ret"))
     return book.join(nxt, ["ticker", "date"], "left").groupBy("scenario_id", "date").agg(F.count("*").alias("names"), F.round(F.sum(F.col("weight") * F.coalesce("next_ret", F.lit(0.0))), 6).alias("next_ret"))
 
 

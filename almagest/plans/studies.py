@@ -43,8 +43,8 @@ select factor, count(*) as dates, round(avg(ic), 6) as mean_ic, round(avg((round
 def ic_test(spark, folder):
     """Rank correlation and outer quintiles of each factor's z-score and of the composite among liquid names."""
     z = [f"z_{f}" for f in panel.FACTORS]
-    scored = panel._scored(spark, folder).select("ticker", "date", *z, F.col("score").alias("z_composite"))
-    u = scored.unpivot(["ticker", "date"], [*z, "z_composite"], "factor", "v").filter("v is not null").withColumn("v", F.round("v", 9)).join(panel._returns_ahead(spark, folder), ["ticker", "date"])
+    scored = panel._scored(spark, folder, panel._bars_ahead(spark, folder)).select("ticker", "date", "fwd", *z, F.col("score").alias("z_composite"))
+    u = scored.filter("fwd is not null").unpivot(["ticker", "date", "fwd"], [*z, "z_composite"], "factor", "v").filter("v is not null").withColumn("v", F.round("v", 9))
     d = Window.partitionBy("factor", "date")
     u = u.withColumns({"a": panel.average_rank("v", "factor", "date"), "b": panel.average_rank("fwd", "factor", "date"), "rn": F.row_number().over(d.orderBy("v", "ticker")), "n": F.count("*").over(d)}).filter("n >= 20")
     u = u.withColumn("q", F.greatest(F.lit(1), F.ceil(5.0 * (F.col("rn") - 1) / (F.col("n") - 1) - 1e-9).cast("int")))
