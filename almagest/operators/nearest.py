@@ -18,18 +18,22 @@ def fit_segments(keys: np.ndarray, error: int = ERROR) -> tuple[np.ndarray, np.n
     points within the bound.
     """
     starts, slopes = [], []
-    at, low, high = 0, 0.0, np.inf
-    values = keys.tolist()
-    for i in range(1, len(values) + 1):
-        if i < len(values):
-            run, rise = values[i] - values[at], i - at
-            new_low, new_high = max(low, (rise - error) / run), min(high, (rise + error) / run)
-            if new_low <= new_high:
-                low, high = new_low, new_high
-                continue
+    at, n = 0, len(keys)
+    while at < n:
+        low, high, end, reach = np.zeros(0), np.zeros(0), at + 1, 256
+        while end < n:  # slopes that keep the points so far within the bound, for as many points as it takes
+            end = min(n, at + reach)
+            run, rise = keys[at + 1 : end] - keys[at], np.arange(1, end - at)
+            low, high = np.maximum.accumulate(np.maximum((rise - error) / run, 0.0)), np.minimum.accumulate((rise + error) / run)
+            over = np.flatnonzero(low > high)
+            if len(over):
+                end = at + 1 + int(over[0])
+                break
+            reach *= 4
+        last = end - at - 2
         starts.append(at)
-        slopes.append(low if high == np.inf else (low + high) / 2)
-        at, low, high = i, 0.0, np.inf
+        slopes.append((low[last] + high[last]) / 2 if last >= 0 else 0.0)
+        at = end
     first = np.asarray(starts, dtype=np.int64)
     return keys[first] if len(first) else keys[:0], first, np.asarray(slopes)
 
