@@ -129,10 +129,16 @@ def _zone(key: Column, at: int) -> Column:
     return F.try_element_at(known, key)
 
 
+def _american(year: Column, march: Column) -> tuple[Column, Column]:
+    """Days on which clocks go forward and back in America, by the rule of the year (that of 1987 before 2007)."""
+    now = year >= FIRST_AMERICAN
+    return _sunday(march + F.when(now, 7).otherwise(31)), _sunday(march + F.when(now, 245).otherwise(238))
+
+
 def new_york_day(seconds: Column, year: Column) -> Column:
-    """Day number in New York of ``seconds`` since 1970, of the UTC year ``year`` (2007 or later rules)."""
-    march = civil_days(year, F.lit(3), 1)
-    summer = (seconds >= _sunday(march + 7) * 86400 + 7 * 3600) & (seconds < _sunday(march + 245) * 86400 + 6 * 3600)
+    """Day number in New York of ``seconds`` since 1970, of the UTC year ``year`` (1987 or later)."""
+    spring, autumn = _american(year, civil_days(year, F.lit(3), 1))
+    summer = (seconds >= spring * 86400 + 7 * 3600) & (seconds < autumn * 86400 + 6 * 3600)
     return _div(seconds - F.when(summer, 4 * 3600).otherwise(5 * 3600), 86400)
 
 
@@ -158,7 +164,7 @@ def with_instant(
     the year last are month first.
 
     ``day_out`` adds the New York day number (days since 1970): the written date where no zone is written, else the
-    New York date at the instant.
+    New York date at the instant. A date without time and zone denotes a day whatever the year.
 
     Nulls and blank text give null. Existing columns stay; names starting with ``__t`` are taken by the operator.
     Columns ``out`` and ``day_out`` replace columns of those names.
@@ -217,13 +223,9 @@ def with_instant(
         },
     )
     march, local, base = F.col("__tmarch"), F.col("__tday") * 1440 + F.col("__tmin"), F.col("__tbase")
-    america = y >= FIRST_AMERICAN
-    spring = F.when(F.col("__trule") == AMERICA, F.when(america, _sunday(march + 7)).otherwise(_sunday(march + 31)) * 1440 + 120).otherwise(
-        _sunday(march + 24) * 1440 + 60 + base
-    )
-    autumn = F.when(F.col("__trule") == AMERICA, F.when(america, _sunday(march + 245)).otherwise(_sunday(march + 238)) * 1440 + 60).otherwise(
-        _sunday(march + 238) * 1440 + 60 + base
-    )
+    forward, back = _american(y, march)
+    spring = F.when(F.col("__trule") == AMERICA, forward * 1440 + 120).otherwise(_sunday(march + 24) * 1440 + 60 + base)
+    autumn = F.when(F.col("__trule") == AMERICA, back * 1440 + 60).otherwise(_sunday(march + 238) * 1440 + 60 + base)
     df = _step(df, {"__tlocal": local, "__tspring": spring, "__tautumn": autumn})
     t = F.col("__tlocal")
     ruled = (
@@ -241,7 +243,8 @@ def with_instant(
         df = _step(df, {"__tsec": seconds, "__tyear": F.year(F.date_from_unix_date(_div(seconds, 86400).cast("int"))).cast("long")})
         homely = (F.col("__tz") == "") & (F.col("__to") == "") & F.col("__tn").isNull()
         day = (
-            F.when(F.col(out).isNull(), None)
+            F.when(homely & F.col("__tbare"), F.col("__tday"))
+            .when(F.col(out).isNull(), None)
             .when(homely, F.col("__tday"))
             .otherwise(new_york_day(F.col("__tsec"), F.col("__tyear")))
             .cast("int")
@@ -262,9 +265,10 @@ def instant_text(us: Column) -> Column:
 
 
 def new_york_midnight(day: Column) -> Column:
-    """Microseconds since 1970 at which a day (2007 or later) begins in New York. Clocks change later on a day."""
-    march = civil_days(F.year(F.date_from_unix_date(day.cast("int"))).cast("long"), F.lit(3), 1)
-    summer = (day > _sunday(march + 7)) & (day <= _sunday(march + 245))
+    """Microseconds since 1970 at which a day (1987 or later) begins in New York. Clocks change later on a day."""
+    year = F.year(F.date_from_unix_date(day.cast("int"))).cast("long")
+    spring, autumn = _american(year, civil_days(year, F.lit(3), 1))
+    summer = (day > spring) & (day <= autumn)
     return (day.cast("long") * 86400 + F.when(summer, 4 * 3600).otherwise(5 * 3600)) * 1000000
 
 

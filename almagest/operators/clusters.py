@@ -41,6 +41,7 @@ def labelled(returns: DataFrame, years: DataFrame, k: int, seeds: int, windows:
     held = returns.filter("ret is not null").select("ticker", "day_idx", "ret").join(F.broadcast(spans), inside)  # rows: years times windows
     position = (F.col("day_idx") - F.col("last") + F.col("days") - 1).cast("int").alias("i")
     names = held.groupBy("fit_year", "w", "days", "ticker").agg(F.count("*").alias("n"), F.collect_list(F.struct(position, "ret")).alias("r")).filter(F.col("n") >= coverage * F.col("days"))
+    names = names.select("fit_year", "w", "days", "ticker", F.col("r.i").alias("i"), F.col("r.ret").alias("ret"))
     kind = returns.schema["ticker"].dataType.simpleString()
 
     def load(part: pd.DataFrame) -> pd.DataFrame:
@@ -48,9 +49,8 @@ def labelled(returns: DataFrame, years: DataFrame, k: int, seeds: int, windows:
         if len(part) < 3 * k:
             return pd.DataFrame({"fit_year": [], "w": [], "ticker": [], "x": []}, dtype=object)
         wide = np.zeros((int(part["days"].iloc[0]), len(part)))
-        for j, cells in enumerate(part["r"]):
-            for c in cells:
-                wide[c["i"], j] = c["ret"]
+        for j, (at, ret) in enumerate(zip(part["i"], part["ret"])):
+            wide[at, j] = ret
         return pd.DataFrame({"fit_year": part["fit_year"], "w": part["w"], "ticker": part["ticker"], "x": list(models.loadings(wide, components))})
 
     loaded = names.groupBy("fit_year", "w").applyInPandas(load, f"fit_year int, w int, ticker {kind}, x array<double>")

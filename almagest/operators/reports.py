@@ -78,9 +78,12 @@ def split_factors(bars: DataFrame, splits: DataFrame, tolerance: float = 0.25, l
     ``bars`` has one positive close per ticker and date. A split of ratio r is applied if ln r is at least ``least``
     and the jump to the first print times r is within ``tolerance`` of one, in logs.
     """
-    before = bars.withColumn("prev", F.lag("close").over(Window.partitionBy("ticker").orderBy("date")))
-    near = splits.join(before, "ticker").filter(F.col("date") >= F.col("ex_date"))  # a ticker has a handful of splits
-    first = near.groupBy("ticker", "ex_date", "ratio").agg(F.min(F.struct("date", "close", "prev")).alias("f"))
+    # Splits of a ticker travel as one short array; a bar is the first print of those since the bar before.
+    w = Window.partitionBy("ticker").orderBy("date")
+    before = bars.select("ticker", "date", "close", F.lag("close").over(w).alias("prev"), F.lag("date").over(w).alias("prev_date"))
+    listed = splits.dropna(subset=["ticker", "ex_date"]).groupBy("ticker").agg(F.collect_set(F.struct("ex_date", "ratio")).alias("s"))
+    due = F.filter("s", lambda x: (x["ex_date"] <= F.col("date")) & (F.col("prev_date").isNull() | (x["ex_date"] > F.col("prev_date"))))
+    first = before.join(listed, "ticker").select("ticker", F.struct("date", "close", "prev").alias("f"), F.inline(due))
     jump = F.log(F.col("f.close") / F.col("f.prev") * F.col("ratio"))
     applied = F.coalesce((F.abs(F.log("ratio")) >= least) & (F.abs(jump) < tolerance), F.lit(False))
     return first.select("ticker", "ex_date", "ratio", F.col("f.date").alias("first_print"), applied.alias("applied"))

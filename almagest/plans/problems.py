@@ -87,10 +87,11 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     found = []
     for part, hour in ((filings, 0), (requests, 16)):
         part = with_instant(part.filter(F.col("text").isNotNull()), "text", out="us", bare_hour=hour, day_out="day" if hour == 0 else None)
-        form = instant_text(F.col("us"))
+        form, there = instant_text(F.col("us")), F.col("us").isNotNull()
         if hour == 0:
-            form = F.when(F.col("field_name") == "filing_date", day_text(F.col("day"))).otherwise(form)
-        found.append(part.filter(F.col("us").isNotNull()).select("field_name", "record_id", form.alias("normal_form")))
+            dated = F.col("field_name") == "filing_date"
+            form, there = F.when(dated, day_text(F.col("day"))).otherwise(form), F.when(dated, F.col("day").isNotNull()).otherwise(there)
+        found.append(part.filter(there).select("field_name", "record_id", form.alias("normal_form")))
     return found[0].unionByName(found[1])
 
 

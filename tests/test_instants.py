@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from almagest.functions.instants import civil_days, day_text, instant_text, with_instant
+from almagest.functions.instants import civil_days, day_text, instant_text, new_york_midnight, with_instant
 
 NY = ZoneInfo("America/New_York")
 
@@ -102,3 +102,18 @@ def test_any_text_is_handled(spark, texts):
 
 if __name__ == "__main__":
     pytest.main([__file__, "-x", "-q"])
+
+
+def test_days_and_midnights_before_2007(spark):
+    """American clocks changed in April and October then; a date alone denotes a day in any year."""
+    import datetime as dt
+
+    ny = NY
+    days = [dt.date(y, m, d) for y in (1990, 1999, 2006, 2007, 2024) for m in (3, 4, 10, 11) for d in range(1, 31)]
+    df = spark.createDataFrame([(d.toordinal() - 719163,) for d in days], "day int").withColumn("us", new_york_midnight(F.col("day")))
+    want = [int(dt.datetime(d.year, d.month, d.day, tzinfo=ny).timestamp() * 1e6) for d in days]
+    assert [r.us for r in df.collect()] == want
+    texts = [f"{d} 04:30:00Z" for d in days] + ["1994-05-02", "1950-01-31", "1994-02-30"]
+    got = [r.day for r in with_instant(spark.createDataFrame([(t,) for t in texts], "t string"), "t", day_out="day").collect()]
+    local = [dt.datetime(d.year, d.month, d.day, 4, 30, tzinfo=dt.timezone.utc).astimezone(ny).date().toordinal() - 719163 for d in days]
+    assert got == local + [dt.date(1994, 5, 2).toordinal() - 719163, dt.date(1950, 1, 31).toordinal() - 719163, None]
