@@ -41,6 +41,8 @@ class Scenario:
     cost_times: float = 1.0
     noise: float = 0.0  # in standard deviations of the date's scores
     seed: int = -1
+    at_open: bool = False  # trades at the day's open instead of its close
+    strategy: Callable[[pd.DataFrame, dict], dict] | None = None  # rows of a signal day by rank, weights held: target weights
 
 
 def equal_under_caps(near: np.ndarray, cap: float = 0.1, near_cap: float = 0.06) -> np.ndarray:
@@ -95,12 +97,19 @@ def rebalances(days: DataFrame, scenarios: Sequence[Scenario], first_signal: Col
 
 
 def carried_growth(returns: DataFrame) -> DataFrame:
-    """``ticker, day_idx, grown``: growth since the ticker's first row, carried over days without one; missing returns are 0."""
+    """``ticker, day_idx, grown, opened``: growth since the ticker's first row up to the day's close and up to its open.
+
+    Days without a row carry the last close; missing returns are 0, and a missing ``overnight`` return (or none at all)
+    makes the open the close before.
+    """
     w = Window.partitionBy("ticker").orderBy("day_idx")
-    df = returns.select("ticker", "day_idx", F.product(1 + F.coalesce("ret", F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("grown"), F.lead("day_idx").over(w).alias("__next"))
+    overnight = F.coalesce("overnight", F.lit(0.0)) if "overnight" in returns.columns else F.lit(0.0)
+    df = returns.select("ticker", "day_idx", F.product(1 + F.coalesce("ret", F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("grown"), F.lead("day_idx").over(w).alias("__next"), overnight.alias("__on"))
+    df = df.withColumn("opened", F.coalesce(F.lag("grown").over(w), F.lit(1.0)) * (1 + F.col("__on")))
     ends = returns.agg(F.max("day_idx").alias("__last"))  # one row
     df = df.join(F.broadcast(ends)).withColumn("__end", F.coalesce(F.col("__next") - 1, "__last"))
-    return df.select("ticker", F.explode(F.sequence("day_idx", "__end")).alias("day_idx"), "grown")
+    df = df.select("ticker", F.col("day_idx").alias("__own"), F.explode(F.sequence("day_idx", "__end")).alias("day_idx"), "grown", "opened")
+    return df.select("ticker", "day_idx", "grown", F.when(F.col("day_idx") == F.col("__own"), F.col("opened")).otherwise(F.col("grown")).alias("opened"))
 
 
 def run(pool: DataFrame, returns: DataFrame, scenarios: Sequence[Scenario], book_value: float = 1e6, impact: float = 1.0) -> dict[str, DataFrame]:
@@ -108,8 +117,9 @@ def run(pool: DataFrame, returns: DataFrame, scenarios: Sequence[Scenario], book
 
     ``pool`` has the names that may be held by signal day: ``ticker, day_idx, grp, beta, amihud, bps, near`` (a report is
     near), ``stress, panic`` and a z-score ``z_f`` for each factor of the scenarios. ``returns`` has ``ticker, day_idx,
-    ret`` of all names and days; a missing return is 0. A book decided on day i - lag is traded at the close of day i
-    and earns from day i + 1 on; it drifts in between. A change of weights costs half the spread and impact (k times
+    ret`` of all names and days (and ``overnight``, for scenarios that trade at the open); a missing return is 0. A book
+    decided on day i - lag is traded at the close of day i and earns from day i + 1 on, or at its open and earns from
+    there on, the old book up to it; it drifts in between. A change of weights costs half the spread and impact (k times
     amihud times the book's value times the square of the change), or ``flat_bps``; names that aren't in the pool
     pay the widest spread and the worst amihud of the day. The last day sells all.
 
@@ -123,7 +133,7 @@ def run(pool: DataFrame, returns: DataFrame, scenarios: Sequence[Scenario], book
 
     # Scores of each scenario on its signal days, and the ranks that decide.
     factors = sorted({f for s in scenarios for f in s.weights})
-    spec = F.create_map(*[x for s in scenarios for x in (F.lit(s.name), F.struct(*[F.lit(float(s.weights.get(f, 0.0))).alias(f) for f in factors], F.lit(float(s.noise)).alias("noise"), F.lit(s.seed).alias("seed"), F.lit(s.halve_in_panic).alias("halved"), F.lit(max(s.n, s.exit_rank)).alias("top"), F.lit(s.quota).alias("quota"), F.lit(float(sum(s.weights.values()) or 1.0)).alias("total")))])
+    spec = F.create_map(*[x for s in scenarios for x in (F.lit(s.name), F.struct(*[F.lit(float(s.weights.get(f, 0.0))).alias(f) for f in factors], F.lit(float(s.noise)).alias("noise"), F.lit(s.seed).alias("seed"), F.lit(s.halve_in_panic).alias("halved"), F.lit(max(s.n, s.exit_rank)).alias("top"), F.lit(s.quota).alias("quota"), F.lit(s.at_open).alias("at_open")))])
     rows = pool.join(F.broadcast(turns), F.col("day_idx") == F.col("signal")).withColumn("spec", F.element_at(spec, F.col("scenario")))
     weight = lambda f: F.col(f"spec.{f}") * F.when(F.col("panic") & (F.col("spec.halved") == f), 0.5).otherwise(1.0)
     score = sum((F.coalesce(F.col(f"z_{f}"), F.lit(0.0)) * weight(f) for f in factors), F.lit(0.0)) / sum((weight(f) for f in factors), F.lit(0.0)) if factors else F.lit(0.0)
@@ -134,8 +144,11 @@ def run(pool: DataFrame, returns: DataFrame, scenarios: Sequence[Scenario], book
     rows = rows.withColumn("rnk", F.row_number().over(by.orderBy(F.desc("score"), "ticker"))).withColumn("own", F.row_number().over(Window.partitionBy("scenario", "k", "grp").orderBy("rnk")))
     free = F.coalesce(F.col("grp").cast("string") == "all", F.lit(False))
     rows = rows.filter((F.col("rnk") <= F.col("spec.top")) | (F.col("own") <= F.col("spec.quota")) | free)
-    ends = [grown.select("ticker", F.col("day_idx").alias(d), F.col("grown").alias(g)) for d, g in (("day", "g0"), ("next", "g1"))]
-    rows = rows.join(ends[0], ["ticker", "day"], "left").join(ends[1], ["ticker", "next"], "left").withColumn("growth", F.coalesce(F.col("g1") / F.col("g0"), F.lit(1.0)))
+    ends = [grown.select("ticker", F.col("day_idx").alias(d), F.struct("grown", "opened").alias(g)) for d, g in (("day", "g0"), ("next", "g1"))]
+    opens = F.col("spec.at_open")
+    bought = F.when(opens, F.col("g0.opened")).otherwise(F.col("g0.grown"))
+    sold = F.when(opens & ~F.col("final"), F.col("g1.opened")).otherwise(F.col("g1.grown"))
+    rows = rows.join(ends[0], ["ticker", "day"], "left").join(ends[1], ["ticker", "next"], "left").withColumn("growth", F.coalesce(sold / bought, F.lit(1.0)))
     # A rebalance without names to hold sells all, so each one has a row.
     rows = turns.select("scenario", "k", "day", "next", "final").join(rows.select("scenario", "k", "ticker", F.col("grp").cast("string").alias("grp"), "rnk", "beta", "near", "stress", "growth"), ["scenario", "k"], "left")
 
@@ -145,7 +158,7 @@ def run(pool: DataFrame, returns: DataFrame, scenarios: Sequence[Scenario], book
         for k, now in part.groupby("k", sort=True):
             day, end, final = int(now["day"].iloc[0]), int(now["next"].iloc[0]), bool(now["final"].iloc[0])
             now = now.dropna(subset=["ticker"]).sort_values("rnk").reset_index(drop=True)
-            target = choose(s, now, held)
+            target = s.strategy(now, held) if s.strategy else choose(s, now, held)
             new = banded(held, target, s.band)
             out += [(s.name, k, day, end, t, held.get(t, 0.0), new.get(t, 0.0), False) for t in {**held, **new}]
             growth = dict(zip(now["ticker"], now["growth"]))
@@ -170,11 +183,18 @@ def run(pool: DataFrame, returns: DataFrame, scenarios: Sequence[Scenario], book
     paid = moved.groupBy("scenario", "day", "exit").agg(F.sum(dw).alias("turnover"), F.sum(spread_cost).alias("fixed"), F.sum(impact_cost).alias("scaled"))
     paid = paid.groupBy("scenario", F.col("day").alias("day_idx")).agg(*[F.sum(F.when(F.col("exit") == e, F.col(c))).alias(f"{c}_{n}") for c in ("turnover", "fixed", "scaled") for e, n in ((False, "in"), (True, "out"))])
 
-    # Value of each holding period by day, then days put one after the other.
-    days = held.filter("weight > 0 and next > day").select("scenario", "k", "day", "ticker", "weight", F.explode(F.sequence(F.col("day") + 1, F.col("next"))).alias("day_idx"))
+    # Value of each holding period by day, then days put one after the other. At the open a day can end one period
+    # and begin another, and its returns are multiplied.
+    opens = F.element_at(F.create_map(*[x for s in scenarios for x in (F.lit(s.name), F.lit(s.at_open))]), F.col("scenario"))
+    days = held.filter("weight > 0").select("scenario", "k", "day", "next", "ticker", "weight", opens.alias("at_open")).join(F.broadcast(turns.select("scenario", "k", "final")), ["scenario", "k"])  # a row per rebalance
+    first = F.when(F.col("at_open"), F.col("day")).otherwise(F.col("day") + 1)
+    days = days.filter(first <= F.col("next")).withColumn("day_idx", F.explode(F.sequence(first, F.col("next"))))
     days = days.join(ends[0], ["ticker", "day"], "left").join(grown, ["ticker", "day_idx"], "left")
-    value = days.groupBy("scenario", "k", "day_idx").agg((1 + F.sum(F.col("weight") * (F.coalesce(F.col("grown") / F.col("g0"), F.lit(1.0)) - 1))).alias("value"))
-    gross = value.withColumn("gross", F.col("value") / F.coalesce(F.lag("value").over(Window.partitionBy("scenario", "k").orderBy("day_idx")), F.lit(1.0)) - 1)
+    price = F.when(F.col("at_open") & ~F.col("final") & (F.col("day_idx") == F.col("next")), F.col("opened")).otherwise(F.col("grown"))
+    growth = F.coalesce(price / F.when(F.col("at_open"), F.col("g0.opened")).otherwise(F.col("g0.grown")), F.lit(1.0))
+    value = days.groupBy("scenario", "k", "day_idx").agg((1 + F.sum(F.col("weight") * (growth - 1))).alias("value"))
+    step = value.withColumn("step", F.col("value") / F.coalesce(F.lag("value").over(Window.partitionBy("scenario", "k").orderBy("day_idx")), F.lit(1.0)))
+    gross = step.groupBy("scenario", "day_idx").agg((F.product("step") - 1).alias("gross"))
     every = turns.groupBy("scenario").agg(F.explode(F.sequence(F.min("day"), F.max("next"))).alias("day_idx"))
     joined = every.join(gross.select("scenario", "day_idx", "gross"), ["scenario", "day_idx"], "left").join(paid, ["scenario", "day_idx"], "left").na.fill(0.0)
 

@@ -11,13 +11,14 @@ SCENARIOS = [
     bt.Scenario("plain", {"a": 1.0, "b": 0.5}, n=6, exit_rank=6, quota=2, keeps=False, band=0.0, every=3),
     bt.Scenario("bands", {"a": 1.0, "b": 0.5}, n=6, exit_rank=12, quota=2, band=0.03, every=3, offset=1, beta_max=1.0, stress_cash=0.25),
     bt.Scenario("late", {"a": 1.0}, n=16, exit_rank=20, quota=5, band=0.02, lag=2, every=4, flat_bps=10.0),
+    bt.Scenario("open", {"a": 1.0, "b": 0.5}, n=6, exit_rank=12, quota=2, band=0.02, every=3, at_open=True),
     bt.Scenario("panic", {"a": 1.0, "b": 1.0}, n=5, exit_rank=9, quota=3, every=5, halve_in_panic="a", cost_times=2.0, stress_cash=0.5),
 ]
 
 
 def tables(days=40, names=30, seed=0):
     rng = np.random.default_rng(seed)
-    returns = pd.DataFrame([(f"t{i:02d}", d, rng.normal(0, 0.05) if rng.random() > 0.1 else None) for i in range(names) for d in range(days) if rng.random() > 0.15 or d == 0], columns=["ticker", "day_idx", "ret"])
+    returns = pd.DataFrame([(f"t{i:02d}", d, rng.normal(0, 0.05) if rng.random() > 0.1 else None, rng.normal(0, 0.02) if rng.random() > 0.2 else None) for i in range(names) for d in range(days) if rng.random() > 0.15 or d == 0], columns=["ticker", "day_idx", "ret", "overnight"])
     rows = []
     for d in range(10, days):
         stress, panic = bool(d % 7 < 3), bool(d % 5 < 2)
@@ -33,6 +34,8 @@ def tables(days=40, names=30, seed=0):
 def plain(s, pool, returns, book_value):
     """The definition, day by day."""
     ret = {(r.ticker, r.day_idx): r.ret for r in returns.itertuples() if r.ret == r.ret and r.ret is not None}
+    on = {(r.ticker, r.day_idx): (r.overnight if r.overnight == r.overnight and r.overnight is not None else 0.0) for r in returns.itertuples()}
+    rest = {key: (1 + ret.get(key, 0.0)) / (1 + o) - 1 for key, o in on.items()}
     first, last = pool.day_idx.min() + s.lag, returns.day_idx.max()
     held, value, out, paid_by = {}, 1.0, [], None
 
@@ -50,10 +53,12 @@ def plain(s, pool, returns, book_value):
         return total * s.cost_times
 
     for day in range(first, last + 1):
-        gross = sum(w * ret.get((t, day), 0.0) for t, w in held.items())
-        held = {t: w * (1 + ret.get((t, day), 0.0)) / (1 + gross) for t, w in held.items()}
+        trades = day == first or day % s.every == s.offset
+        earned = on if s.at_open and trades else ret
+        gross = sum(w * earned.get((t, day), 0.0) for t, w in held.items())
+        held = {t: w * (1 + earned.get((t, day), 0.0)) / (1 + gross) for t, w in held.items()}
         turnover = paid = 0.0
-        if day == first or day % s.every == s.offset:
+        if trades:
             paid_by = day - s.lag
             now = pool[pool.day_idx == paid_by].copy()
             target = {}
@@ -75,6 +80,10 @@ def plain(s, pool, returns, book_value):
             new = bt.banded(held, target, s.band)
             changes = {t: new.get(t, 0.0) - held.get(t, 0.0) for t in {**held, **new}}
             turnover, paid, held = sum(map(abs, changes.values())), cost(changes, paid_by), new
+            if s.at_open:
+                inside = sum(w * rest.get((t, day), 0.0) for t, w in held.items())
+                held = {t: w * (1 + rest.get((t, day), 0.0)) / (1 + inside) for t, w in held.items()}
+                gross = (1 + gross) * (1 + inside) - 1
         value *= 1 + gross - paid
         out.append([day, gross - paid, gross, turnover, paid])
     leave = cost({t: -w for t, w in held.items()}, paid_by)
@@ -89,7 +98,7 @@ def made(spark):
     pool, returns = tables()
     schema = "ticker string, day_idx long, grp string, beta double, amihud double, bps double, near boolean, stress boolean, panic boolean, z_a double, z_b double"
     frame = lambda df, schema: spark.createDataFrame(df.astype(object).where(df.notna(), None), schema)
-    return pool, returns, frame(pool, schema), frame(returns, "ticker string, day_idx long, ret double")
+    return pool, returns, frame(pool, schema), frame(returns, "ticker string, day_idx long, ret double, overnight double")
 
 
 def test_against_days_in_turn(made):
@@ -129,3 +138,19 @@ def test_small_trades_are_not_made():
     assert got["A"] == 0.27 and abs(sum(got.values()) - 1) < 1e-12 and got["B"] < 0.33 and "C" not in got
     assert bt.banded({}, {"A": 1.0}, 0.02) == {"A": 1.0}
     assert abs(sum(bt.banded({"A": 0.5, "B": 0.5}, {"A": 0.51, "B": 0.49}, 0.02).values()) - 1) < 1e-12
+
+
+def test_open_at_the_close_before_changes_nothing(made):
+    """Where the night brings nothing, books that trade at the open earn what the day brings as well."""
+    _, _, p, r = made
+    two = [bt.Scenario("close", {"a": 1.0}, n=5, every=4), bt.Scenario("open", {"a": 1.0}, n=5, every=4, at_open=True)]
+    b = bt.run(p, r.drop("overnight"), two)["books"].filter("weight > 0").toPandas()
+    first = b[b.day_idx == b.day_idx.min()]
+    assert sorted(first[first.scenario == "close"].ticker) == sorted(first[first.scenario == "open"].ticker)
+
+
+def test_any_function_can_choose(made):
+    _, _, p, r = made
+    own = bt.Scenario("own", {"a": 1.0}, every=5, band=0.0, strategy=lambda now, held: {t: 0.5 for t in now["ticker"][:2]})
+    b = bt.run(p, r, [own])["books"].filter("weight > 0").toPandas()
+    assert (b.weight == 0.5).all() and (b.groupby("day_idx").size() == 2).all()
