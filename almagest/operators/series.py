@@ -102,10 +102,14 @@ def drawdowns(returns: DataFrame) -> DataFrame:
 
 
 def episodes(drawn: DataFrame, k: int = 5) -> DataFrame:
-    """The ``k`` deepest falls of each name: first and last day below the peak, day of the trough, depth, days."""
+    """The ``k`` deepest falls of each name: first and last day below the peak, day of the trough, depth, days, recovery.
+
+    ``recovered`` is the day on which the peak is reached again, null if it hasn't been.
+    """
+    drawn = drawn.withColumn("__next", F.lead("date").over(days()))
     upto = days().rowsBetween(Window.unboundedPreceding, 0)
     df = drawn.withColumn("island", F.sum(F.when(F.col("drawdown") >= -1e-12, 1).otherwise(0)).over(upto)).filter(F.col("drawdown") < -1e-12)
-    df = df.groupBy("name", "island").agg(F.min("date").alias("start"), F.max("date").alias("end"), F.min("drawdown").alias("depth"), F.min_by("date", F.struct("drawdown", "date")).alias("trough"), F.count("*").alias("length"))
+    df = df.groupBy("name", "island").agg(F.min("date").alias("start"), F.max("date").alias("end"), F.min("drawdown").alias("depth"), F.min_by("date", F.struct("drawdown", "date")).alias("trough"), F.count("*").alias("length"), F.max_by("__next", "date").alias("recovered"))
     rank = F.row_number().over(Window.partitionBy("name").orderBy("depth", "start"))
     return df.withColumn("rank", rank).filter(F.col("rank") <= k).drop("island")
 

@@ -394,9 +394,9 @@ dd as (select *, equity / greatest(max(equity) over (partition by name order by
 
 
 @register(
-    f"""with {DRAW}, g as (select *, count_if(drawdown >= -1e-12) over (partition by name order by date) as island from dd),
-x as (select name, min(date) as start, max(date) as "end", min(drawdown) as depth, arg_min(date, drawdown) as trough, count(*) as length from g where drawdown < -1e-12 group by name, island)
-select name, start, "end", round(depth, 6) as depth, trough, length, rank from (select *, row_number() over (partition by name order by depth, start) as rank from x) where rank <= 5"""
+    f"""with {DRAW}, g as (select *, count_if(drawdown >= -1e-12) over (partition by name order by date) as island, lead(date) over (partition by name order by date) as nx from dd),
+x as (select name, min(date) as start, max(date) as "end", min(drawdown) as depth, arg_min(date, drawdown) as trough, count(*) as length, max(nx) filter (nx > date) as nx, count(nx) as known from g where drawdown < -1e-12 group by name, island)
+select name, start, "end", round(depth, 6) as depth, trough, length, case when known = length then nx end as recovered, rank from (select *, row_number() over (partition by name order by depth, start) as rank from x) where rank <= 5"""
 )
 def drawdown_episodes(spark, folder):
     out = sr.episodes(sr.drawdowns(_index_returns(spark, folder).filter("ret is not null")))

@@ -11,6 +11,7 @@ from almagest.operators import series as sr
 from almagest.plans import diagnostics, panel
 from almagest.plans import reports as rp
 from almagest.plans.panel import FEAT, IDX, LIQ, RETS, WEIGHTED, register, rounded
+from almagest.session import checkpoint
 from almagest.sources.tables import table
 
 # --- factors
@@ -57,7 +58,7 @@ def ic_test(spark, folder):
     f"""with {FEAT}, m as (select date, avg(ret) as given from rets where ticker % 3 = 0 group by 1),
 j as (select f.ticker, f.date, f.day_idx, f.ret, m.given, f.mkt from feat f join m using (date)),
 w as (select *, count(given) over y as n, count(*) over y as days from (select distinct date, day_idx, given, mkt from j) window y as (order by day_idx range between 252 preceding and current row)),
-k as (select date, coalesce(case when n::double / days > 0.9 then given end, mkt) as used, n::double / days > 0.9 as has from w)
+k as (select date, case when n::double / days > 0.9 then coalesce(given, 0) else mkt end as used, n::double / days > 0.9 as has from w)
 select date, has as given_used, round(used, 6) as market from k"""
 )
 def market_given(spark, folder):
@@ -141,6 +142,16 @@ def part_universe(spark, folder):
     return df.groupBy("date").agg(F.count("*").alias("names"), F.min(F.when(F.col("rnk") == 15, F.col("ticker"))).alias("fifteenth"))
 
 
+@register(f"with {LIQ} select ticker, grp, round(adv20 / 1e6, 6) as adv20_m, row_number() over (order by round(adv20 / 1e6, 6) desc, ticker) as rnk from liq where date = (select max(date) from liq)")
+def eligible_last(spark, folder):
+    """The names that pass all tests of liquidity on the last date, by dollar volume."""
+    liquid = panel._liquid(spark, folder).select("date", "ticker", "grp", F.round(F.col("adv20") / 1e6, 6).alias("adv20_m"))
+    liquid = checkpoint(liquid)  # used twice
+    newest = liquid.agg(F.max("date").alias("date"))  # one row
+    last = liquid.join(F.broadcast(newest), "date", "left_semi")
+    return last.select("ticker", "grp", "adv20_m", F.row_number().over(Window.orderBy(F.desc("adv20_m"), "ticker")).cast("long").alias("rnk"))
+
+
 # --- regimes
 
 
