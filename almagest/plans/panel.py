@@ -158,9 +158,9 @@ def mom_12_1(spark, folder):
     return rounded(_features(spark, folder).filter("momentum is not null").select("ticker", "date", "momentum"), "momentum")
 
 
-@register(f"with {FEAT} select ticker, date, round(adv20 / 1e6, 6) as adv20_m from feat")
+@register(f"with {FEAT} select ticker, date, round(adv20 / 1e6 + 1e-9, 6) as adv20_m from feat")
 def adv20(spark, folder):
-    return _features(spark, folder).select("ticker", "date", F.round(F.col("adv20") / 1e6, 6).alias("adv20_m"))
+    return _features(spark, folder).select("ticker", "date", F.round(F.col("adv20") / 1e6 + 1e-9, 6).alias("adv20_m"))
 
 
 @register(f"with {FEAT} select ticker, date, round(amihud, 6) as amihud from feat")

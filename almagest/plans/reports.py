@@ -35,11 +35,11 @@ def _reports(spark: SparkSession, folder: str) -> DataFrame:
     return q.select("ticker", pe.alias("pe"), "sales", "cost", "qty", ((F.col("sales") - F.col("cost")) / F.col("qty")).alias("eps"))
 
 
-def _known(spark: SparkSession, folder: str) -> DataFrame:
+def _known(spark: SparkSession, folder: str, rep: DataFrame | None = None) -> DataFrame:
     lines = table(spark, folder, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("ticker"))
     orders = table(spark, folder, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("fd"))
     filed = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("ticker", "fd").distinct().withColumn("filed", F.unix_date("fd"))
-    rep = _reports(spark, folder).select("ticker", "pe")
+    rep = (_reports(spark, folder) if rep is None else rep).select("ticker", "pe")
     found = nearest.nearest(rep, filed, "ticker", "pe", "fd", "filed", 6, 120)
     filing = F.date_from_unix_date(F.col("filed").cast("int"))
     return rep.join(found, ["ticker", "pe"], "left").select("ticker", "pe", F.coalesce(F.date_add(filing, 1), F.date_add("pe", 60)).alias("knowable"), filing.alias("filed"))

@@ -25,13 +25,14 @@ st as (select ticker, date, max(close) as close, max(pe) as pe, min(pe) as first
 
 def _states(spark: SparkSession, folder: str) -> DataFrame:
     """The panel's reports as states by date of knowledge."""
-    known = rp._known(spark, folder).select("ticker", "pe", "knowable")
-    rows = reports.surprise(rp._reports(spark, folder)).join(known, ["ticker", "pe"]).withColumn("margin", 1 - F.col("cost") / F.col("sales"))
+    rep = checkpoint(rp._reports(spark, folder))  # used twice
+    known = rp._known(spark, folder, rep).select("ticker", "pe", "knowable")
+    rows = reports.surprise(rep).join(known, ["ticker", "pe"]).withColumn("margin", 1 - F.col("cost") / F.col("sales"))
     return pit.trailing_states(rows, ["sales", "eps"], ["margin"], ["sue", "qty"])
 
 
 def _at_month_ends(spark: SparkSession, folder: str) -> DataFrame:
-    bars = panel._bars(spark, folder).select("ticker", "date", "close")
+    bars = checkpoint(panel._bars(spark, folder).select("ticker", "date", "close"))  # used twice
     ends = F.broadcast(bars.groupBy(F.date_trunc("month", "date").alias("m")).agg(F.max("date").alias("date")).select("date"))  # a row per month
     values = ["pe", "first_pe", "public", "ttm_sales", "ttm_eps", "ttm_margin", "latest_sue", "latest_qty"]
     intervals = checkpoint(_states(spark, folder))
