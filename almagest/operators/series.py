@@ -19,10 +19,11 @@ def full(column: Column, count_of: str, window: Window, n: int) -> Column:
     return F.when(F.count(count_of).over(window) >= n, column)
 
 
-def conditions(levels: DataFrame, average: int = 200, vol: int = 21, history: int = 252, year: int = 252, high: float = 0.8) -> DataFrame:
+def conditions(levels: DataFrame, average: int = 200, vol: int = 21, history: int = 252, year: int = 252, high: float = 0.8, funding: DataFrame | None = None) -> DataFrame:
     """Per day: return, below its moving average, annual volatility, its share of the past at or below, year's return.
 
-    ``stress_raw`` is a level below its average in high volatility; ``panic`` a negative year in high volatility.
+    ``stress_raw`` is a level below its average in high volatility; ``panic`` a negative year in high volatility. With
+    ``funding`` (``name, date, funding``, carried forward between its days) a high share of it makes stress as well.
     """
     w = days()
     ma, rv = w.rowsBetween(1 - average, 0), w.rowsBetween(1 - vol, 0)
@@ -37,7 +38,13 @@ def conditions(levels: DataFrame, average: int = 200, vol: int = 21, history: in
     )
     df = expanding_share(df, "vol", "vol_pct", history)
     high_vol = F.coalesce(F.col("vol_pct") > high, F.lit(False))
-    return df.withColumns({"stress_raw": F.coalesce(F.col("below_ma"), F.lit(False)) & high_vol, "panic": F.coalesce(F.col("ret_year") < 0, F.lit(False)) & high_vol})
+    tense = high_vol
+    if funding is not None:
+        df = df.join(funding.select("name", "date", "funding"), ["name", "date"], "left")
+        df = df.withColumn("funding", F.last("funding", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        df = expanding_share(df, "funding", "funding_pct", history)
+        tense = high_vol | F.coalesce(F.col("funding_pct") > high, F.lit(False))
+    return df.withColumns({"stress_raw": F.coalesce(F.col("below_ma"), F.lit(False)) & tense, "panic": F.coalesce(F.col("ret_year") < 0, F.lit(False)) & high_vol})
 
 
 def expanding_share(df: DataFrame, value: str, out: str, least: int) -> DataFrame:

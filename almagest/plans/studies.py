@@ -170,6 +170,20 @@ def flag_means(spark, folder):
     return rounded(out, "mean_ann", "vol_ann")
 
 
+@register(
+    f"""with {IDX}, fw as (select case name when 'MKTCOMP' then 'SMALLCOMP' else 'MKTCOMP' end as name, date, abs(ret) as funding from weekly),
+ff as (select f.*, w.funding from flags f asof left join fw w on w.name = f.name and w.date <= f.date),
+fp as (select x.name, x.date, count(y.funding) as seen, count_if(y.funding <= x.funding) as atmost from ff x join ff y on y.name = x.name and y.day_no <= x.day_no and y.funding is not null where x.funding is not null group by 1, 2)
+select ff.name, ff.date, round(funding, 6) as funding, round(case when fp.seen >= 252 then fp.atmost::double / fp.seen end, 6) as funding_pct, coalesce(below_ma, false) and (coalesce(vol_pct > 0.8, false) or coalesce(fp.seen >= 252 and fp.atmost::double / fp.seen > 0.8, false)) as stress_raw from ff left join fp on fp.name = ff.name and fp.date = ff.date"""
+)
+def funding_conditions(spark, folder):
+    """Stress with a second gauge beside volatility, known once a week and carried forward: here the other index's last move."""
+    weekly = sr.last_of_week(panel._index_returns(spark, folder))
+    other = F.when(F.col("name") == "MKTCOMP", "SMALLCOMP").otherwise("MKTCOMP")
+    gauge = weekly.select(other.alias("name"), "date", F.abs("ret").alias("funding"))
+    return rounded(sr.conditions(panel._index(spark, folder), funding=gauge).select("name", "date", "funding", "funding_pct", "stress_raw"), "funding", "funding_pct")
+
+
 EPISODES = [("spring 2024", "2024-03-01", "2024-05-31"), ("fall 2024", "2024-09-01", "2024-11-30"), ("2025", "2025-01-01", "2025-12-31")]
 
 
