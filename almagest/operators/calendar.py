@@ -52,3 +52,18 @@ def groups_at(rows: DataFrame, schedule: DataFrame) -> DataFrame:
     own = F.filter("fits", lambda y: y <= F.year("date"))
     df = rows.drop("fit_year", "grp").join(F.broadcast(fits)).withColumn("fit_year", F.coalesce(F.try_element_at(own, F.lit(-1)), F.try_element_at("fits", F.lit(1)))).drop("fits")
     return df.join(schedule, ["fit_year", "ticker"], "left").withColumn("grp", F.coalesce("grp", F.lit("other")))
+
+
+def days_to_next(rows: DataFrame, events: DataFrame, entity: str, day: str, event_day: str, out: str) -> DataFrame:
+    """``rows`` with ``out``: days from ``day`` to the next event of the entity on it or after it, null where none comes.
+
+    Rows and distinct event days of an entity are put in one order and the next event is carried back, so no row meets
+    all events. Rows with a null entity or day get null.
+    """
+    marks = events.select(F.col(entity).alias("__e"), F.col(event_day).cast("date").alias("__d")).dropna().distinct().withColumn("__event", F.col("__d"))
+    asked = rows.select(F.col(entity).alias("__e"), F.col(day).cast("date").alias("__d")).dropna().distinct().withColumn("__event", F.lit(None).cast("date"))
+    order = Window.partitionBy("__e").orderBy("__d").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    both = marks.withColumn("__asked", F.lit(False)).unionByName(asked.withColumn("__asked", F.lit(True)))
+    found = both.withColumn("__next", F.min("__event").over(order)).filter("__asked").select("__e", "__d", "__next")
+    joined = rows.drop(out).join(found, (F.col(entity) == F.col("__e")) & (F.col(day).cast("date") == F.col("__d")), "left")
+    return joined.withColumn(out, F.datediff("__next", "__d")).drop("__e", "__d", "__next")

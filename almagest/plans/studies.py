@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from almagest.operators import features as fx
 from almagest.operators import reports
 from almagest.operators import series as sr
+from almagest.operators.calendar import days_to_next
 from almagest.plans import diagnostics, panel
 from almagest.plans import reports as rp
 from almagest.plans.panel import FEAT, IDX, LIQ, RETS, WEIGHTED, register, rounded
@@ -152,6 +153,27 @@ def eligible_last(spark, folder):
     return last.select("ticker", "grp", "adv20_m", F.row_number().over(Window.orderBy(F.desc("adv20_m"), "ticker")).cast("long").alias("rnk"))
 
 
+STATE = f"""{WEIGHTED}, {rp.REPORTS.removeprefix('with ')},
+sv as (select b.ticker, b.date, k.filed - b.date as days from (select ticker, date from bars semi join (select distinct date from weighted) using (date)) b asof left join (select ticker, filed from known where filed is not null) k on k.ticker = b.ticker and k.filed >= b.date)"""
+
+
+@register(
+    f"""with {STATE}, n as (select w.ticker, w.date, sv.days, coalesce(sv.days between 0 and 30, false) as near from weighted w left join sv on sv.ticker = w.ticker and sv.date = w.date),
+c as (select *, case when near then 0.06::double else 0.1::double end as cap, count(*) over d as n, count_if(near) over d as k from n window d as (partition by date)),
+r as (select *, sum(cap) over (partition by date) as room from c)
+select ticker, date, days as days_to_report, near, round(case when room < 1 then cap / room when 1.0::double / n <= 0.06 or k = 0 then 1.0::double / n when near then 0.06::double else (1 - 0.06::double * k) / (n - k) end, 6) as weight from r"""
+)
+def weights_near_reports(spark, folder):
+    """Books with the days to each name's next report, read for book dates only, and weights under caps by these days."""
+    kept = panel._kept_bars(spark, folder)
+    book = checkpoint(panel.book_of(panel._scored(spark, folder, kept)).select("ticker", "date"))  # used twice
+    dates = book.select("date").distinct()
+    rows = kept.select("ticker", "date").join(F.broadcast(dates), "date", "left_semi")  # a row per date
+    state = days_to_next(rows, rp._known(spark, folder).select("ticker", "filed"), "ticker", "date", "filed", "days_to_report")
+    held = book.join(state, ["ticker", "date"], "left").withColumn("near", F.coalesce(F.col("days_to_report").between(0, 30), F.lit(False)))
+    return rounded(fx.capped_weights(held, F.col("near")).select("ticker", "date", F.col("days_to_report").cast("long").alias("days_to_report"), "near", "weight"), "weight")
+
+
 # --- regimes
 
 

@@ -110,3 +110,15 @@ def test_six_digits_sum_to_one(spark):
     assert all(r.s == 1 for r in got)
     cash = replay.with_cash(df.filter("date = 2").withColumn("weight", F.col("weight") * 0.75)).collect()
     assert {r.ticker: round(r.weight, 9) for r in cash} == {"a": 0.45, "b": 0.3, replay.CASH: 0.25}
+
+
+def test_days_to_the_next_event(spark):
+    rng = random.Random(9)
+    day = lambda: None if rng.random() < 0.05 else D(2024, 1, 1) + dt.timedelta(rng.randint(0, 200))
+    name = lambda: rng.choice(["hot", "hot", "a", "b", None])
+    rows = [(i, name(), day()) for i in range(150)]
+    events = [(name(), day()) for _ in range(60)]
+    df = spark.createDataFrame(rows, "id int, e string, d date")
+    got = {r.id: r.days for r in cal.days_to_next(df, spark.createDataFrame(events, "e string, at date"), "e", "d", "at", "days").collect()}
+    want = {i: min(((x - d).days for f, x in events if f == e and x is not None and x >= d), default=None) if e is not None and d is not None else None for i, e, d in rows}
+    assert got == want
