@@ -42,7 +42,9 @@ def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, folder, "mix_targets").limit(1001).collect()
     assert len(rows) <= 1000, "mix_targets holds a few sources"
     targets = {r["source"]: mixing.Target(r["target_share"], r["max_repeats"]) for r in rows}
-    return mixing.mix(_sized(spark, folder), "doc_id", "source", "tokens", targets)
+    names = [mixing.plain_name(s) for s in targets if s is not None]
+    wanted = table(spark, folder, "documents").filter(mixing.source_name(F.col("source")).isin(*names))  # only these are counted
+    return mixing.mix(wanted.select("doc_id", "source", token_count("text").alias("tokens")), "doc_id", "source", "tokens", targets)
 
 
 def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:

@@ -26,7 +26,11 @@ def _encoder(path: str):
 
 
 def token_count(text: str | Column, vocabulary: str = VOCABULARY) -> Column:
-    """Tokens of the whole text; 0 for null and empty texts. Strings of special tokens count as ordinary text."""
+    """Tokens of the whole text; 0 for null and empty texts. Strings of special tokens count as ordinary text.
+
+    The function is declared nondeterministic, which it isn't, so that a later filter on the number isn't pushed below
+    the column and makes the optimizer count every text twice. Filters on other columns belong before this one.
+    """
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -34,4 +38,4 @@ def token_count(text: str | Column, vocabulary: str = VOCABULARY) -> Column:
         for texts in batches:
             yield pd.Series([len(encode(t)) if t else 0 for t in texts], dtype="int64")
 
-    return count(F.col(text) if isinstance(text, str) else text)
+    return count.asNondeterministic()(F.col(text) if isinstance(text, str) else text)

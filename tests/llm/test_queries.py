@@ -17,3 +17,15 @@ def test_empty_and_dirty_tables(spark, tmp_path, empty):
     for name, query in QUERIES.items():
         n = query(spark, str(tmp_path)).count()
         assert n == 0 or not empty or name == "p7_shares", name
+
+
+def test_texts_are_counted_once(spark):
+    """A filter on the number of tokens doesn't count the texts again."""
+    from pyspark.sql import functions as F
+
+    from almagest.llm.tokens import token_count
+
+    df = spark.createDataFrame([(i, "word " * i, "s") for i in range(5)], "doc_id long, text string, source string").select("doc_id", "source", token_count("text").alias("n"))
+    plan = df.filter((F.col("n") > 2) & (F.col("source") == "s"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert df.filter("n > 2").count() == sum(r.n > 2 for r in df.collect()) > 0
