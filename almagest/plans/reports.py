@@ -356,13 +356,25 @@ def _pair(spark, folder):
     return days.select(*[F.col(f"s.{n}").alias(c) for n, c in zip(PAIR, "ab")])
 
 
+def _newey_west(x: np.ndarray) -> float:
+    """Mean over its error with Bartlett weights; NaN for fewer than ten values."""
+    n = len(x)
+    if n < 10:
+        return float("nan")
+    e, lags = x - x.mean(), int(4 * (n / 100) ** (2 / 9))
+    spread = e @ e + 2 * sum((1 - k / (lags + 1)) * (e[k:] @ e[:-k]) for k in range(1, lags + 1))
+    return float(x.mean() / np.sqrt(spread / n / n)) if spread > 0 else float("nan")
+
+
 @register()
 def paired_bootstrap(spark, folder):
     """Yearly return gap of the pair by a stationary bootstrap of its daily gaps: 2000 replicates, mean block 21 days.
 
-    A replicate takes both returns of a day together. ``p`` is the share of replicates with a gap of zero or less.
+    A replicate takes both returns of a day together. ``p`` is the share of replicates with a gap of zero or less, ``t``
+    the gap over its error with Bartlett weights.
     """
-    runs = _pair(spark, folder).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(1999)))).repartition("run")
+    pair = _pair(spark, folder)
+    runs = pair.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(1999)))).repartition("run")
 
     def draw(batches):
         for batch in batches:
@@ -375,12 +387,17 @@ def paired_bootstrap(spark, folder):
                 starts = rng.integers(0, n, n)
                 begin = np.maximum.accumulate(np.where(jump, np.arange(n), 0))
                 means.append(gap[(starts[begin] + np.arange(n) - begin) % n].mean())
-            yield pd.DataFrame({"days": batch["a"].map(len), "gap": [(np.asarray(a) - np.asarray(b)).mean() for a, b in zip(batch["a"], batch["b"])], "mean": means})
+            yield pd.DataFrame({"mean": means})
 
-    out = runs.mapInPandas(draw, "days long, gap double, mean double").groupBy("days", "gap").agg(
-        F.count("*").alias("runs"), F.avg((F.col("mean") <= 0).cast("double")).alias("p"), *[F.percentile("mean", F.lit(q / 100)).alias(f"p{q:02d}") for q in (5, 95)]
-    )
-    return out.select("days", "runs", F.round(F.col("gap") * 252, 6).alias("gap"), F.round("p", 6).alias("p"), F.round(F.col("p05") * 252, 6).alias("p05"), F.round(F.col("p95") * 252, 6).alias("p95"))
+    def whole(batches):
+        for batch in batches:
+            gaps = [np.asarray(a) - np.asarray(b) for a, b in zip(batch["a"], batch["b"])]
+            yield pd.DataFrame({"days": [len(g) for g in gaps], "gap": [g.mean() for g in gaps], "t": [_newey_west(g) for g in gaps]})
+
+    drawn = runs.mapInPandas(draw, "mean double").agg(F.count("*").alias("runs"), F.avg((F.col("mean") <= 0).cast("double")).alias("p"), *[F.percentile("mean", F.lit(q / 100)).alias(f"p{q:02d}") for q in (5, 95)])
+    out = pair.mapInPandas(whole, "days long, gap double, t double").join(drawn)  # one row each
+    year = [F.round(F.col(c) * 252, 6).alias(c) for c in ("gap", "p05", "p95")]
+    return out.select("days", "runs", year[0], F.round(F.nanvl("t", F.lit(None).cast("double")), 6).alias("t"), F.round("p", 6).alias("p"), *year[1:])
 
 
 @register()

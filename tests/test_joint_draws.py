@@ -27,3 +27,11 @@ def test_a_steady_gap_is_never_lost(spark, tmp_path):
         paths = extras.joint_monte_carlo(spark, f"{tmp_path}/{name}").collect()[0]
         assert paths.paths == 20000 and paths.beats == (1.0 if shift > 0 else 0.0)
         assert paths.p05 < paths.p50 < paths.p95 and 0 < paths.loss < 1
+
+
+def test_error_with_bartlett_weights():
+    x = np.random.default_rng(2).normal(0.1, 1, 250)
+    e, n, lags = x - x.mean(), 250, int(4 * 2.5 ** (2 / 9))
+    total = sum(max(0.0, 1 - abs(i - j) / (lags + 1)) * e[i] * e[j] for i in range(n) for j in range(n) if abs(i - j) <= lags)
+    assert abs(reports._newey_west(x) - x.mean() / np.sqrt(total / n / n)) < 1e-12
+    assert np.isnan(reports._newey_west(x[:9])) and np.isnan(reports._newey_west(np.zeros(20)))
